@@ -5,17 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .sharding import minimax_shards
+from .warc import warc_round_trip
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe_encode(_read(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return bpe_decode(encoded, vocabulary).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(_read(spark, sf_dir, "documents"), shards=8)
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
