@@ -38,7 +38,7 @@ class Workspace:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written rows; its shuffles may then be freed."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         schema = df.schema
         del df
         return self.spark.read.schema(schema).parquet(path)

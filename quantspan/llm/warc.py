@@ -234,7 +234,7 @@ def _read_archives(root: str, with_data: bool):
     return run
 
 
-def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK, date: str = "1970-01-01T00:00:00Z", level: int = 1, roll: int = ROLL) -> tuple[str, DataFrame]:
+def write_archives(pages: DataFrame, work: Workspace, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK, date: str = "1970-01-01T00:00:00Z", level: int = 6, roll: int = ROLL) -> tuple[str, DataFrame]:
     """Write one record a row of ``pages``; returns the archives' folder and the manifest of its files.
 
     A string payload is taken as UTF-8, a null one as empty. Payloads of fewer than ``min_bytes``
