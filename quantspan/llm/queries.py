@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .linededup import line_dedup
+from .neardup import near_duplicates
 from .quality import quality_scores
 from .sharding import minimax_shards
 from .toxicity import toxicity_scores
@@ -20,6 +22,11 @@ def op1_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op2_winnowing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"), window=3)
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,6 +39,10 @@ def op5_nbsvm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), threshold=0.7)
 
 
+def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(_read(spark, sf_dir, "documents"), shards=8)
 
