@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
+from .decontaminate import find_leaks
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality_scores
@@ -43,6 +44,10 @@ def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=2, percent=80)
 
 
+def op7_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards(_read(spark, sf_dir, "documents"), shards=8)
 
