@@ -7,12 +7,14 @@ the sample that the model has not seen, turns margins into scores.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import columns_as
 from .tokens import FEATURES, Table, ngram_features, scored, token_code, training_rows
@@ -113,16 +115,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "features": pa.array([ngram_features(x or "", table).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
 
     got = training_rows(docs, labels, label, train_rows).mapInArrow(run, "label int, features binary").toArrow()
-    order = np.lexsort([np.array([len(x) for x in got["features"].to_pylist()], np.int64)]) if got.num_rows else []
     rows, y = got["features"].to_pylist(), got["label"].to_pylist()
-    pairs = sorted((hash_order(rows[i]), i) for i in order)  # an order that does not depend on the partitions
-    return fit_rows([np.frombuffer(rows[i], np.int32) for _, i in pairs], np.array([y[i] for _, i in pairs], np.int64))
-
-
-def hash_order(row: bytes) -> bytes:
-    import hashlib
-
-    return hashlib.blake2b(row, digest_size=12).digest()
+    # an order that does not depend on the partitions
+    order = sorted(range(len(rows)), key=lambda i: (hashlib.blake2b(rows[i], digest_size=12).digest(), y[i]))
+    return fit_rows([np.frombuffer(rows[i], np.int32) for i in order], np.array([y[i] for i in order], np.int64))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -142,3 +138,19 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     out = scored(own, score, [("score", pa.float64())], "score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, text_col: str = "text", label: str = "quality", threshold: float = 0.5, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``.
+
+    The model is fitted on ``train_docs`` (doc_id, text) as in :func:`quality_scores`.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(fit(train_docs, labels, label, train_rows))
+
+    def run(batches):
+        table = Table(token_code)
+        for batch in batches:
+            yield batch.filter(pa.array([model.value.score(ngram_features(x.as_py() or "", table)) >= threshold for x in batch.column(1)], pa.bool_()))
+
+    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
+    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).select("row.*")

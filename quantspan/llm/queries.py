@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .decontaminate import find_leaks
+from .hnsw import embedding_duplicates
 from .linededup import line_dedup
 from .neardup import near_duplicates
 from .quality import quality_scores
 from .sharding import minimax_shards
+from .substrings import remove_repeats
 from .toxicity import toxicity_scores
 from .warc import warc_round_trip
 
@@ -28,6 +30,11 @@ def op2_winnowing_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(_read(spark, sf_dir, "documents"), length=400)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +63,10 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_read(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op10_hnsw_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_duplicates(_read(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
