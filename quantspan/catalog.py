@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quantspan.plans import bars
+
+PLANS = [bars]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Metrics of the EMA-cross trades of each asset."""
+    return bars.QUERIES["a1_metrics"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {k: v for p in PLANS for k, v in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for p in PLANS for k, v in p.SQL.items()}
