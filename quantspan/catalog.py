@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspan.plans import bars
+from quantspan.plans import bars, research
 
-PLANS = [bars]
+PLANS = [bars, research]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,21 +93,21 @@ def keep_last(feed: DataFrame, key: str, order: str) -> DataFrame:
     return feed.withColumn("place", place).where("place = 1").drop("place")
 
 
-def funding_feed(spark: SparkSession, sf_dir: str, event_type: str = "view") -> DataFrame:
-    """A funding-like feed: the mean value of each eight hours less the mean of all, scaled."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == event_type)
+def funding_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A funding-like feed of each event type: the mean value of each eight hours less the mean of all, scaled."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "asset")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    slots = events.groupBy((F.floor(seconds / 28800) * 28800).alias("time")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
-    overall = events.agg(F.avg("value").alias("overall"))
-    return slots.crossJoin(F.broadcast(overall)).select("time", ((F.col("mean") - F.col("overall")) / 10000).alias("rate"))
+    slots = events.groupBy("asset", (F.floor(seconds / 28800) * 28800).alias("time")).agg(F.avg("value").alias("mean"))
+    overall = events.groupBy("asset").agg(F.avg("value").alias("overall"))
+    return slots.join(overall, "asset").select("asset", "time", ((F.col("mean") - F.col("overall")) / 10000).alias("rate"))
 
 
-def open_interest_feed(spark: SparkSession, sf_dir: str, event_type: str = "view") -> DataFrame:
-    """An open-interest-like feed: hourly running count of events."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").where(F.col("event_type") == event_type)
+def open_interest_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An open-interest-like feed of each event type: hourly running count of events."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("event_type", "asset")
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
-    hours = events.groupBy((F.floor(seconds / 3600) * 3600).alias("time")).agg(F.count("*").alias("n"))
-    return hours.select("time", F.sum("n").over(Window.orderBy("time").rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("open_interest"))
+    hours = events.groupBy("asset", (F.floor(seconds / 3600) * 3600).alias("time")).agg(F.count("*").alias("n"))
+    return hours.select("asset", "time", F.sum("n").over(w(order="time").rowsBetween(Window.unboundedPreceding, 0)).cast("double").alias("open_interest"))
 
 
 def basis_feed(bars: DataFrame, spot: str = "view", perp: str = "click") -> DataFrame:
