@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspan.plans import bars, research
+from quantspan.plans import bars, research, search
 
-PLANS = [bars, research]
+PLANS = [bars, research, search]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
