@@ -8,16 +8,19 @@
 3. In each bucket every node is compared with the smallest one. Confirmed links are joined to components,
    and only pairs that lie in different components go on: of small buckets all of them; nodes
    of large buckets are hashed again to longer keys (texts that merely have a long passage in common
-   part here), and what shares one of those is compared.
-4. A compared pair must pass a generous signature distance and is then confirmed on the full sets.
+   part here). What still shares a large bucket is compared exactly, block of sets against block of
+   sets; no pair is a row unless it is a link.
+4. Any other compared pair must pass a generous signature distance and is then confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -35,6 +38,8 @@ LONG_CHUNKS, LONG_CHUNK = 75, 8
 MOST_DIFFERENT = 25
 #: Buckets of up to so many nodes have all their open pairs compared.
 SMALL_BUCKET = 64
+#: Sets of a block in which the nodes of large buckets are compared.
+BLOCK = 256
 
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
@@ -140,6 +145,42 @@ def stars(bucketed: DataFrame) -> DataFrame:
     return bucketed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
 
 
+def set_overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
+    flat = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(a) for a in s])) for s in (x, y)]
+    common = np.intersect1d(flat[0][0], flat[1][0])
+    out = np.zeros((len(x), len(y)), np.float32)
+    for k in range(0, len(common), columns):
+        part, tables = common[k : k + columns], []
+        for (items, rows), n in zip(flat, out.shape, strict=True):
+            at = np.searchsorted(part, items).clip(max=len(part) - 1)
+            has = part[at] == items
+            table = np.zeros((n, len(part)), np.float32)
+            table[rows[has], at[has]] = 1
+            tables.append(table)
+        out += tables[0] @ tables[1].T
+    return out
+
+
+def _pack(group: pd.DataFrame) -> pd.DataFrame:
+    held = pickle.dumps((group["node"].to_numpy(), group["component"].to_numpy(), [np.asarray(x, np.int64) for x in group["items"]]))
+    return pd.DataFrame({"top": [group["top"].iloc[0]], "block": [group["block"].iloc[0]], "sets": [held]})
+
+
+def _compare(percent: int):
+    def run(batches):
+        for batch in batches:
+            for one, other in zip(batch["sets_x"], batch["sets_y"], strict=True):
+                (na, ca, sa), (nb, cb, sb) = pickle.loads(one), pickle.loads(other)
+                size_a, size_b = (np.array([len(s) for s in x], np.float32) for x in (sa, sb))
+                shared = set_overlaps(sa, sb)
+                a, b = np.nonzero((100 * shared >= percent * (size_a[:, None] + size_b - shared)) & (ca[:, None] != cb))
+                links = pd.DataFrame({"a": na[a], "b": nb[b], "of_a": ca[a], "of_b": cb[b]})
+                yield links.drop_duplicates(["of_a", "of_b"])[["a", "b"]]  # one link joins two components
+
+    return run
+
+
 class Join:
     """The steps of one near-duplicate join."""
 
@@ -174,6 +215,7 @@ class Join:
         self.links = links if self.links is None else self.links.unionByName(links)
 
     def labels(self) -> DataFrame:
+        self.steps += 1
         return components(self.links, self.work, f"components-{self.steps}")
 
     def open(self, bucketed: DataFrame) -> DataFrame:
@@ -189,6 +231,31 @@ class Join:
         x, y = (rows.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
         return x.join(y, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
 
+    def confirm_blocks(self, rows: DataFrame) -> None:
+        """Links between components within the buckets of ``rows``, by comparing blocks of whole sets.
+
+        Every node belongs to its largest bucket, the pairs of these that meet in some bucket are compared
+        block by block: their number depends on the buckets, and no task holds more than two blocks.
+        """
+        self.steps += 1
+        work, name = self.work, str(self.steps)
+        rows = work.table(rows, f"rows-{name}")
+        tops = rows.groupBy("node", "component").agg(F.max_by("key", F.struct("size", "key")).alias("top"))
+        tops = work.table(tops, f"tops-{name}")
+        met = rows.select("key", "node").join(tops.select("node", "top"), "node").select("key", "top").distinct()
+        met = met.join(met.withColumnRenamed("top", "top_y"), "key").where("top <= top_y").select("top", "top_y").distinct()
+        sets = work.table(sets_of(self.texts(tops.select("node")), self.width), f"sets-{name}")
+        sized = tops.join(tops.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "top")
+        placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.dropDuplicates(["node"]), "node")
+        blobs = work.table(placed.select("top", "block", "node", "component", "items").groupBy("top", "block").applyInPandas(_pack, "top long, block long, sets binary"), f"blobs-{name}")
+        x, y = (blobs.select(*(F.col(c).alias(f"{c}_{k}") for c in ("top", "block", "sets"))) for k in ("x", "y"))
+        places = [b.select(*b.columns[:2]) for b in (x, y)]
+        tasks = met.withColumnRenamed("top", "top_x").join(places[0], "top_x").join(places[1], "top_y").where("top_x < top_y or block_x <= block_y")
+        tasks = tasks.join(x, ["top_x", "block_x"]).join(y, ["top_y", "block_y"]).select("sets_x", "sets_y")
+        links = work.table(tasks.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_compare(self.percent), "a long, b long"), f"links-{name}")
+        work.drop(f"rows-{name}", f"sets-{name}", f"blobs-{name}")
+        self.links = self.links.unionByName(links)
+
     def run(self) -> DataFrame:
         work = self.work
         first = work.table(buckets(signature_keys(self.nodes)), "buckets")
@@ -200,7 +267,11 @@ class Join:
         if not large.isEmpty():
             second = work.table(buckets(long_keys(self.texts(large), self.width).distinct()), "long-buckets")
             self.confirm(stars(second))
-            self.confirm(self.across(self.open(second)))
+            rest = work.table(self.open(second), "long-open")
+            self.confirm(self.across(rest.where(F.col("size") <= SMALL_BUCKET)))
+            rest = rest.where(F.col("size") > SMALL_BUCKET)
+            if not rest.isEmpty():
+                self.confirm_blocks(rest.select("key", "node", "component", "size"))
         found = self.labels()
         group = self.nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
         group = work.table(group, "groups")
