@@ -14,14 +14,21 @@ from pyspark.sql import functions as F
 GAMMA = 0.5772156649015329
 
 
-@F.pandas_udf("double")
-def normal_cdf(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: None if v is None or math.isnan(v) else NormalDist().cdf(v))
+def normal_cdf(x: Column) -> Column:
+    """Spark has no normal distribution: a vectorised function over Arrow batches."""
+    return F.pandas_udf(_cdf, "double")(x)
 
 
-@F.pandas_udf("double")
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return p.map(lambda v: None if v is None or not 0 < v < 1 else NormalDist().inv_cdf(v))
+def normal_quantile(p: Column) -> Column:
+    return F.pandas_udf(_quantile, "double")(p)
+
+
+def _cdf(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: None if pd.isna(v) else NormalDist().cdf(v)).astype("float64")
+
+
+def _quantile(p: pd.Series) -> pd.Series:
+    return p.map(lambda v: None if pd.isna(v) or not 0 < v < 1 else NormalDist().inv_cdf(v)).astype("float64")
 
 
 def sharpe_moments(returns: DataFrame, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
@@ -71,17 +78,17 @@ def cscv(returns: DataFrame, folds: int) -> DataFrame:
     Each split needs only counts, sums and sums of squares of its folds; the series is read once.
     """
     spark = returns.sparkSession
-    size = returns.agg((F.max("t") + 1).alias("T"), F.count_distinct("strategy").alias("N"))
-    fold = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda k: F.col("t") < F.floor(k * F.col("T") / folds)), F.lit(True)) - 1
-    parts = returns.crossJoin(F.broadcast(size)).withColumn("fold", fold.cast("int")).groupBy("strategy", "fold", "N").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
+    size = returns.agg((F.max("t") + 1).alias("length"), F.count_distinct("strategy").alias("tried"))
+    fold = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda k: F.col("t") < F.floor(k * F.col("length") / folds)), F.lit(True)) - 1
+    parts = returns.crossJoin(F.broadcast(size)).withColumn("fold", fold.cast("int")).groupBy("strategy", "fold", "tried").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
     splits = spark.createDataFrame([(i, k, k in c) for i, c in enumerate(combinations(range(folds), folds // 2)) for k in range(folds)], "split int, fold int, inside boolean")
-    sums = parts.join(F.broadcast(splits), "fold").groupBy("split", "strategy", "inside", "N").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    sums = parts.join(F.broadcast(splits), "fold").groupBy("split", "strategy", "inside", "tried").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     variance = F.greatest((F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0))
     sums = sums.withColumn("sharpe", F.coalesce(F.try_divide(mean, F.nullif(F.sqrt(variance), F.lit(0.0))), F.lit(0.0)))
-    both = sums.groupBy("split", "strategy", "N").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("sr_in"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("sr_out"))
+    both = sums.groupBy("split", "strategy", "tried").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("sr_in"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("sr_out"))
     ranked = both.withColumn("winner", F.row_number().over(Window.partitionBy("split").orderBy(F.desc("sr_in"), "strategy"))).withColumn("rank", F.row_number().over(Window.partitionBy("split").orderBy("sr_out", "strategy")))
-    return ranked.where("winner = 1").select("split", "strategy", "rank", F.ln(F.col("rank") / (F.col("N") + 1 - F.col("rank"))).alias("lambda"))
+    return ranked.where("winner = 1").select("split", "strategy", "rank", F.ln(F.col("rank") / (F.col("tried") + 1 - F.col("rank"))).alias("lambda"))
 
 
 def overfitting_probability(splits: DataFrame) -> DataFrame:
