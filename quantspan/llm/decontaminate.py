@@ -1,7 +1,9 @@
 """Benchmark decontamination: every passage of every document queries a BM25 index of the test items.
 
 The index holds impacts divided by the item's own score, so a passage scores 1 if it has every word of
-the item; retrieval is by block-max WAND with a fixed threshold and finds all items above it. A found
+the item; retrieval is by block-max WAND with a fixed threshold and finds all items above it. The most
+common words, which alone bring no item near the threshold, have no cursors: an item needs the rest
+of the threshold from its other words, and what the common ones add is looked up for those found. A found
 item is a leak if its word shingles are in the passage, as a whole and in both its question (the
 beginning) and its answer (the end).
 
@@ -26,9 +28,11 @@ from .tokens import Table, word
 
 #: Bytes of test items that are indexed and broadcast at a time.
 BLOCK_BYTES = 16 << 20
-#: Postings of a block of the index.
-POSTINGS = 16
+#: Postings of a block of a list, and items of a block of the index.
+POSTINGS, ITEMS = 16, 4
 K1, B = 1.2, 0.75
+#: Share of the threshold that common words may bring an item to without cursors of their own.
+COMMON = 0.5
 NOWHERE = 1 << 60
 
 
@@ -48,7 +52,7 @@ class Postings:
 class Index:
     """BM25 over the test items; the score of an item's own words is 1."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
+    def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
         self.ids = [i for i, _ in items]
         texts = [words_of(t or "") for _, t in items]
         self.words = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
@@ -64,7 +68,22 @@ class Index:
                 lists[w][0].append(k)
                 lists[w][1].append(x / whole)
         self.postings = [Postings(*lists[w]) for w in range(len(self.words))]
-        self.most = np.array([p.most for p in self.postings] + [0.0])
+        common, added = set(), [0.0] * n
+        for w in sorted(range(len(self.words)), key=lambda w: -seen[w]):
+            if any(added[k] + x > threshold * COMMON for k, x in zip(*lists[w], strict=True)):
+                break
+            common.add(w)
+            for k, x in zip(*lists[w], strict=True):
+                added[k] += x
+        self.threshold, self.gate = threshold, threshold - max(added, default=0.0)
+        self.common = {(w, k): x for w in common for k, x in zip(*lists[w], strict=True)}
+        self.most = np.array([0.0 if w in common else p.most for w, p in enumerate(self.postings)] + [0.0, 0.0])
+        self.peaks: list[list[tuple[int, float]]] = []  # of each word: item blocks and its largest impact there
+        for p in self.postings:
+            peaks: dict[int, float] = {}
+            for k, x in zip(p.items, p.impacts, strict=True):
+                peaks[k // ITEMS] = max(x, peaks.get(k // ITEMS, 0.0))
+            self.peaks.append(list(peaks.items()))
         self.parts = [self._parts(t, width) for t in coded]
 
     @staticmethod
@@ -75,8 +94,22 @@ class Index:
         whole = shingles(t, width)
         return (whole, shingles(t[:-answer], width), shingles(t[-answer:], width)) if len(t) >= answer + width else (whole, whole, whole)
 
-    def search(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose score for the distinct ``terms`` is at least ``threshold``: block-max WAND."""
+    def may_hold(self, terms: set[int]) -> bool:
+        """Whether the largest impacts in some block of items add up to what an item needs."""
+        sums: dict[int, float] = {}
+        for t in terms:
+            for block, x in self.peaks[t]:
+                sums[block] = sums.get(block, 0.0) + x
+        return max(sums.values(), default=0.0) >= self.gate - 1e-9
+
+    def search(self, terms: list[int]) -> list[tuple[int, float]]:
+        """All items whose score for the distinct ``terms`` is at least the threshold."""
+        found = self.wand([t for t in terms if self.most[t]], self.gate)
+        full = ((item, score + sum(self.common.get((t, item), 0.0) for t in terms)) for item, score in found)
+        return [x for x in full if x[1] >= self.threshold - 1e-9]
+
+    def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
+        """All items whose score for the ``terms`` is at least ``threshold``: block-max WAND."""
         found, cursors = [], [[self.postings[t].items[0], 0, self.postings[t]] for t in terms]
 
         def move(c: list, target: int) -> None:
@@ -121,7 +154,7 @@ def shingles(t: list[int], width: int) -> set:
     return {tuple(t[k : k + width]) for k in range(max(1, len(t) - width + 1))} if t else set()
 
 
-def leaks_of(text: str, index: Index, table: Table, threshold: float, overlap: float, part: float, width: int) -> list[tuple]:
+def leaks_of(text: str, index: Index, table: Table, overlap: float, part: float, width: int) -> list[tuple]:
     """(item, score, overlap, question overlap, answer overlap, first word) of the best passage of each leak."""
     tokens = text.split()
     if not tokens:
@@ -130,16 +163,17 @@ def leaks_of(text: str, index: Index, table: Table, threshold: float, overlap: f
     code = code[code != -2]  # tokens without a word
     length, step = max(128, 2 * index.longest), max(64, index.longest)
     starts = np.arange(0, max(1, len(code) - length + step), step)
-    total = np.concatenate([[0.0], np.cumsum(index.most[code])])
-    loose = total[np.minimum(starts + length, len(code))] - total[starts]
+    telling = np.flatnonzero(index.most[code] > 0)
+    words = code[telling].tolist()
+    begin, end = np.searchsorted(telling, starts).tolist(), np.searchsorted(telling, starts + length).tolist()
     best: dict[int, tuple] = {}
-    for start in starts[loose >= threshold].tolist():
+    for start, low, high in zip(starts.tolist(), begin, end, strict=True):
+        if not index.may_hold(set(words[low:high])):
+            continue
         passage = code[start : start + length]
         terms = np.unique(passage[passage >= 0])
-        if index.most[terms].sum() < threshold:
-            continue
         here = None
-        for item, score in index.search(terms.tolist(), threshold):
+        for item, score in index.search(terms.tolist()):
             here = here or shingles(passage.tolist(), width)
             whole, question, answer = ((len(p & here) / len(p)) for p in index.parts[item])
             if whole >= overlap and question >= part and answer >= part and (item not in best or (score, whole) > best[item][1:3]):
@@ -147,20 +181,20 @@ def leaks_of(text: str, index: Index, table: Table, threshold: float, overlap: f
     return list(best.values())
 
 
-def _finder(index, threshold: float, overlap: float, part: float, width: int):
+def _finder(index, overlap: float, part: float, width: int):
     own = index.value
     table = Table(lambda token: own.words.get(w, -1) if (w := word(token)) else -2)
-    return lambda text: leaks_of(text, own, table, threshold, overlap, part, width)
+    return lambda text: leaks_of(text, own, table, overlap, part, width)
 
 
-def item_blocks(items: DataFrame, width: int) -> Iterator:
+def item_blocks(items: DataFrame, width: int, threshold: float) -> Iterator:
     """Broadcast indexes of the test items, each of at most about BLOCK_BYTES of text."""
     spark = items.sparkSession
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-size // BLOCK_BYTES)
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()  # BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], width))
+        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], width, threshold))
 
 
 FOUND = "item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
@@ -178,10 +212,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """
     own = columns_as(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     out = None
-    for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words):
+    for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words, threshold):
 
         def run(batches, index=index):
-            find = _finder(index, threshold, overlap, part, shingle_words)
+            find = _finder(index, overlap, part, shingle_words)
             for batch in batches:
                 rows = [(k, *x) for k, text in enumerate(batch.column(1)) for x in find(text.as_py() or "")]
                 if rows:
@@ -198,10 +232,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     """The rows of ``docs``, with all their columns, that hold no test item. See :func:`find_leaks`."""
     out = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
-    for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words):
+    for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words, threshold):
 
         def run(batches, index=index):
-            find = _finder(index, threshold, overlap, part, shingle_words)
+            find = _finder(index, overlap, part, shingle_words)
             for batch in batches:
                 yield batch.filter(pa.array([not find(text.as_py() or "") for text in batch.column(1)], pa.bool_()))
 
