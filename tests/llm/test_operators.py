@@ -82,7 +82,7 @@ def test_warc_round_trip(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "0L as uid", "1 as sha1")
     got = warc.warc_round_trip(pages, chunk_bytes=100).toPandas()
     assert len(got) == len(rows)
-    key = lambda r: (r.page_id if r.page_id == r.page_id else -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to if r.refers_to == r.refers_to else None)
+    key = lambda r: (int(r.page_id) if r.page_id == r.page_id else -1, r.payload_bytes, r.payload_digest, r.record_type, int(r.refers_to) if r.refers_to == r.refers_to else None)
     sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
     x, e, none = b"x" * 1000, ("é" * 70_001).encode(), b""
     want = [(-1, 0, sha(none), "revisit", 5), (1, 1000, sha(x), "response", None), (2, 1000, sha(x), "revisit", 1), (2, 1000, sha(x), "revisit", 1), (5, 0, sha(none), "response", None), (6, len(e), sha(e), "response", None), (7, len(e), sha(e), "revisit", 6)]
