@@ -230,14 +230,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 
 def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, shingle_words: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no test item. See :func:`find_leaks`."""
-    out = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    out, schema = docs.select(F.struct("*").alias("row")), T.StructType([T.StructField("row", docs.schema)])
     for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words, threshold):
 
         def run(batches, index=index):
             find = _finder(index, overlap, part, shingle_words)
             for batch in batches:
-                yield batch.filter(pa.array([not find(text.as_py() or "") for text in batch.column(1)], pa.bool_()))
+                yield batch.filter(pa.array([not find(row[text_col].as_py() or "") for row in batch.column(0)], pa.bool_()))
 
         out = out.mapInArrow(run, schema)
     return out.select("row.*")

@@ -67,21 +67,19 @@ def _windows(size: int):
     return run
 
 
-def _without(size: int):
+def _without(size: int, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in range(0, batch.num_rows, 256):
                 part = batch.slice(b, 256)
                 texts, counts = [], []
-                for text, starts in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                    lines, at, _ = line_hashes(text) if starts else ((text or "").split("\n"), None, None)
-                    gone = np.zeros(len(at) if starts else 0, bool)
-                    for s in starts or ():
+                for row, starts in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                    lines, at, _ = line_hashes(row[text_col].as_py())
+                    gone = np.zeros(len(at), bool)
+                    for s in starts:
                         gone[s : s + size] = True
-                    if starts:
-                        drop = set(at[gone].tolist())
-                        text = "\n".join(x for k, x in enumerate(lines) if k not in drop)
-                    texts.append(text)
+                    drop = set(at[gone].tolist())
+                    texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
                     counts.append((len(lines), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())))
                 n_lines, n_removed, n_runs = (pa.array(c, pa.int64()) for c in zip(*counts, strict=True))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), n_lines, n_removed, n_runs], names=["row", "kept", "n_lines", "n_removed", "n_runs"])
@@ -97,8 +95,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     and stay. An empty table gives no rows. ``docs`` must not have columns named like the four added.
     """
     work = Workspace(docs.sparkSession, "linededup")
-    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text_col).cast("string"), F.lit(1)).alias("text_hash"), F.col(text_col).cast("string").alias("text"), F.struct("*").alias("row"))
-    found = keyed.select("doc", "text_hash", "text").mapInArrow(_windows(window), "doc long, text_hash long, start int, fingerprint long, again boolean, whole long, seen boolean")
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text_col), F.lit(1)).alias("text_hash"), F.struct("*").alias("row"))
+    found = keyed.select("doc", "text_hash", F.col("row")[text_col].alias("text")).mapInArrow(_windows(window), "doc long, text_hash long, start int, fingerprint long, again boolean, whole long, seen boolean")
     found = work.table(found, "windows")
     met = found.groupBy("fingerprint").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("again")).where("first < last or again")
     matched = found.join(met.select("fingerprint"), "fingerprint", "left_semi")
@@ -106,7 +105,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeats = matched.join(origin, "whole").where("doc > origin or seen")
     repeats = work.table(repeats.groupBy("doc", "text_hash").agg(F.collect_set("start").alias("starts")), "repeats")
     work.drop("windows")
-    both = keyed.join(repeats.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "text", "starts")
+    both = keyed.join(repeats.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "starts")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
-    out = both.mapInArrow(_without(window), schema)
-    return out.select("row.*", F.col("kept").alias("kept_text"), "n_lines", "n_removed", "n_runs")
+    changed = both.where("starts is not null").mapInArrow(_without(window, text_col), schema)
+    text = F.coalesce(F.col("row")[text_col], F.lit(""))
+    lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
+    same = both.where("starts is null").select("row", F.col("row")[text_col].alias("kept"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))
+    return same.unionByName(changed).select("row.*", F.col("kept").alias("kept_text"), "n_lines", "n_removed", "n_runs")

@@ -145,12 +145,12 @@ def keep_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, text
 
     The model is fitted on ``train_docs`` (doc_id, text) as in :func:`quality_scores`.
     """
+    docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     model = docs.sparkSession.sparkContext.broadcast(fit(train_docs, labels, label, train_rows))
 
     def run(batches):
         table = Table(token_code)
         for batch in batches:
-            yield batch.filter(pa.array([model.value.score(ngram_features(x.as_py() or "", table)) >= threshold for x in batch.column(1)], pa.bool_()))
+            yield batch.filter(pa.array([model.value.score(ngram_features(row[text_col].as_py() or "", table)) >= threshold for row in batch.column(0)], pa.bool_()))
 
-    schema = T.StructType([T.StructField("row", docs.schema), T.StructField("text", T.StringType())])
-    return docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).select("row.*")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
