@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,13 +34,13 @@ def rounded(x: Column | str, digits: int = 6) -> Column:
     return F.round(x, digits)
 
 
-def of_bars(name: str, columns: dict[str, Column], sql_columns: dict[str, str], digits: int = 6, before=None, ctes: str = "", source: str = "bars") -> None:
-    """A query of columns over bars and the same in SQL."""
+def of_bars(name: str, columns: Callable[[], dict[str, Column]], sql_columns: dict[str, str], digits: int = 6, before=None, ctes: str = "", source: str = "bars") -> None:
+    """A query of columns over bars, made when it runs as they need a session, and the same in SQL."""
 
     def run(spark, sf_dir):
         bars = src.bars_from_events(spark, sf_dir)
         bars = before(bars) if before else bars
-        return bars.select(*ID, *(rounded(c, digits).alias(k) if digits else c.alias(k) for k, c in columns.items()))
+        return bars.select(*ID, *(rounded(c, digits).alias(k) if digits else c.alias(k) for k, c in columns().items()))
 
     shown = ", ".join(f"round({v}, {digits}) AS {k}" if digits else f"{v} AS {k}" for k, v in sql_columns.items())
     query(name, f"WITH {q.BARS}{ctes} SELECT asset, bar_idx, {shown} FROM {source}")(run)
@@ -95,35 +95,35 @@ def local() -> Column:
 NY = "((time AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York')"
 MINUTES = f"(hour({NY}) * 60 + minute({NY}))"
 minutes = lambda: F.hour(local()) * 60 + F.minute(local())
-of_bars("p4_in_session", {"in_session": minutes().between(480, 1009)}, {"in_session": f"{MINUTES} BETWEEN 480 AND 1009"}, 0)
-of_bars("p5_session_mask", {"session_end": F.coalesce(minutes().between(480, 1010) & ~F.coalesce(F.lead(minutes().between(480, 1010)).over(w()), F.lit(False)), F.lit(False))}, {"session_end": f"({MINUTES} BETWEEN 480 AND 1010) AND NOT coalesce(lead({MINUTES} BETWEEN 480 AND 1010) OVER ({q.W}), false)"}, 0)
-of_bars("p6_funding_mask", {"funded": sim.funding_bar()}, {"funded": "hour(time) IN (0, 8, 16) AND minute(time) = 0"}, 0)
-
-of_bars("w1_lag_diff_change", {"shifted": lag("close", 3), "diff": F.col("close") - lag("close"), "change": F.try_divide(F.col("close"), lag("close")) - 1}, {"shifted": f"lag(close, 3) OVER ({q.W})", "diff": f"close - lag(close) OVER ({q.W})", "change": f"close / lag(close) OVER ({q.W}) - 1"})
-of_bars("w2_rolling", {"mean": rolling(F.avg, "close", 20), "low": rolling(F.min, "close", 20), "high": rolling(F.max, "close", 20), "total": rolling(F.sum, "volume", 20), "sd": rolling(F.stddev_samp, "close", 20), "var0": rolling(F.var_pop, "close", 20)}, {"mean": q.full("avg", "close", 20), "low": q.full("min", "close", 20), "high": q.full("max", "close", 20), "total": q.full("sum", "volume", 20), "sd": q.full("stddev_samp", "close", 20), "var0": q.full("var_pop", "close", 20)}, 8)
-of_bars("w2_rolling_median", {"median": rolling(lambda x: F.percentile(x, 0.5), "close", 21)}, {"median": f"CASE WHEN count(close) OVER {q.rows(21)} = 21 THEN quantile_cont(close, 0.5) OVER {q.rows(21)} END"})
-of_bars("w3_ema", {"ema_20": F.col("ema_20"), "ema_50": F.col("ema_50"), "ema_200": F.col("ema_200")}, {f"ema_{n}": q.ema("close", q.span(n)) for n in (20, 50, 200)}, before=lambda b: ind.emas(b, [20, 50, 200]))
-of_bars("w4_ewm_adjusted", {"mean": F.col("mean")}, {"mean": q.ewm("close", 1 / 14, 14)}, before=lambda b: ind.with_ewm(b, [ind.Ewm("mean", "close", 1 / 14, True, 14)]))
-of_bars("w5_sma", {"sma": ind.sma(30)}, {"sma": q.full("avg", "close", 30)})
-of_bars("w6_macd", {"macd": F.col("macd"), "signal": F.col("macd_signal"), "hist": F.col("macd_hist")}, {"macd": "m", "signal": q.ema("m", 0.2), "hist": f"m - {q.ema('m', 0.2)}"}, 5, ind.macd, f", x AS (SELECT *, {q.ema('close', q.span(12))} - {q.ema('close', q.span(26))} AS m FROM bars)", "x")
+of_bars("p4_in_session", lambda: {"in_session": minutes().between(480, 1009)}, {"in_session": f"{MINUTES} BETWEEN 480 AND 1009"}, 0)
+of_bars("p5_session_mask", lambda: {"session_end": F.coalesce(minutes().between(480, 1010) & ~F.coalesce(F.lead(minutes().between(480, 1010)).over(w()), F.lit(False)), F.lit(False))}, {"session_end": f"({MINUTES} BETWEEN 480 AND 1010) AND NOT coalesce(lead({MINUTES} BETWEEN 480 AND 1010) OVER ({q.W}), false)"}, 0)
+of_bars("p6_funding_mask", lambda: {"funded": sim.funding_bar()}, {"funded": "hour(time) IN (0, 8, 16) AND minute(time) = 0"}, 0)
+
+of_bars("w1_lag_diff_change", lambda: {"shifted": lag("close", 3), "diff": F.col("close") - lag("close"), "change": F.try_divide(F.col("close"), lag("close")) - 1}, {"shifted": f"lag(close, 3) OVER ({q.W})", "diff": f"close - lag(close) OVER ({q.W})", "change": f"close / lag(close) OVER ({q.W}) - 1"})
+of_bars("w2_rolling", lambda: {"mean": rolling(F.avg, "close", 20), "low": rolling(F.min, "close", 20), "high": rolling(F.max, "close", 20), "total": rolling(F.sum, "volume", 20), "sd": rolling(F.stddev_samp, "close", 20), "var0": rolling(F.var_pop, "close", 20)}, {"mean": q.full("avg", "close", 20), "low": q.full("min", "close", 20), "high": q.full("max", "close", 20), "total": q.full("sum", "volume", 20), "sd": q.full("stddev_samp", "close", 20), "var0": q.full("var_pop", "close", 20)}, 8)
+of_bars("w2_rolling_median", lambda: {"median": rolling(lambda x: F.percentile(x, 0.5), "close", 21)}, {"median": f"CASE WHEN count(close) OVER {q.rows(21)} = 21 THEN quantile_cont(close, 0.5) OVER {q.rows(21)} END"})
+of_bars("w3_ema", lambda: {"ema_20": F.col("ema_20"), "ema_50": F.col("ema_50"), "ema_200": F.col("ema_200")}, {f"ema_{n}": q.ema("close", q.span(n)) for n in (20, 50, 200)}, before=lambda b: ind.emas(b, [20, 50, 200]))
+of_bars("w4_ewm_adjusted", lambda: {"mean": F.col("mean")}, {"mean": q.ewm("close", 1 / 14, 14)}, before=lambda b: ind.with_ewm(b, [ind.Ewm("mean", "close", 1 / 14, True, 14)]))
+of_bars("w5_sma", lambda: {"sma": ind.sma(30)}, {"sma": q.full("avg", "close", 30)})
+of_bars("w6_macd", lambda: {"macd": F.col("macd"), "signal": F.col("macd_signal"), "hist": F.col("macd_hist")}, {"macd": "m", "signal": q.ema("m", 0.2), "hist": f"m - {q.ema('m', 0.2)}"}, 5, ind.macd, f", x AS (SELECT *, {q.ema('close', q.span(12))} - {q.ema('close', q.span(26))} AS m FROM bars)", "x")
 MOVES = f", d AS (SELECT *, coalesce(close - lag(close) OVER ({q.W}), 0) AS ch FROM bars), g AS (SELECT *, {q.ewm('greatest(ch, 0)', 1 / 14, 14)} AS mg, {q.ewm('greatest(-ch, 0)', 1 / 14, 14)} AS ml FROM d)"
 RSI = "(CASE WHEN ml = 0 AND mg = 0 THEN NULL WHEN ml = 0 THEN 100 ELSE 100 - 100 / (1 + mg / ml) END)"
-of_bars("w7_rsi", {"rsi": F.col("rsi")}, {"rsi": RSI}, 5, ind.rsi, MOVES, "g")
+of_bars("w7_rsi", lambda: {"rsi": F.col("rsi")}, {"rsi": RSI}, 5, ind.rsi, MOVES, "g")
 TR = f"greatest(high - low, abs(high - lag(close) OVER ({q.W})), abs(low - lag(close) OVER ({q.W})))"
-of_bars("w8_atr", {"atr": F.col("atr")}, {"atr": q.ewm("tr", 1 / 14, 14)}, 6, ind.atr, f", d AS (SELECT *, {TR} AS tr FROM bars)", "d")
-of_bars("w9_stochastic", {"k": ind.stochastic(14)}, {"k": f"100 * (close - {q.full('min', 'low', 14)}) / nullif({q.full('max', 'high', 14)} - {q.full('min', 'low', 14)}, 0)"})
-of_bars("w10_typical_price", {"tp": ind.typical_price()}, {"tp": "(high + low + close) / 3"})
-of_bars("w11_volume", {"sma": rolling(F.avg, "volume", 20), "ema": F.col("vema"), "relative": ind.relative_volume(20)}, {"sma": q.full("avg", "volume", 20), "ema": q.ema("volume", q.span(20)), "relative": f"volume / nullif({q.full('avg', 'volume', 20)}, 0)"}, before=lambda b: ind.with_ewm(b, [ind.span("vema", "volume", 20)]))
-of_bars("w12_volume_zscore", {"z": ind.volume_zscore(20)}, {"z": f"CASE WHEN {q.full('var_pop', 'volume', 20)} > 1e-300 THEN (volume - {q.full('avg', 'volume', 20)}) / sqrt({q.full('var_pop', 'volume', 20)}) END"})
-of_bars("w13_obv", {"obv": ind.obv()}, {"obv": f"sum(coalesce(sign(close - pc), 0) * volume) OVER ({q.W})"}, 6, lambda b: b.withColumn("previous_close", lag("close")), f", p AS (SELECT *, lag(close) OVER ({q.W}) AS pc FROM bars)", "p")
+of_bars("w8_atr", lambda: {"atr": F.col("atr")}, {"atr": q.ewm("tr", 1 / 14, 14)}, 6, ind.atr, f", d AS (SELECT *, {TR} AS tr FROM bars)", "d")
+of_bars("w9_stochastic", lambda: {"k": ind.stochastic(14)}, {"k": f"100 * (close - {q.full('min', 'low', 14)}) / nullif({q.full('max', 'high', 14)} - {q.full('min', 'low', 14)}, 0)"})
+of_bars("w10_typical_price", lambda: {"tp": ind.typical_price()}, {"tp": "(high + low + close) / 3"})
+of_bars("w11_volume", lambda: {"sma": rolling(F.avg, "volume", 20), "ema": F.col("vema"), "relative": ind.relative_volume(20)}, {"sma": q.full("avg", "volume", 20), "ema": q.ema("volume", q.span(20)), "relative": f"volume / nullif({q.full('avg', 'volume', 20)}, 0)"}, before=lambda b: ind.with_ewm(b, [ind.span("vema", "volume", 20)]))
+of_bars("w12_volume_zscore", lambda: {"z": ind.volume_zscore(20)}, {"z": f"CASE WHEN {q.full('var_pop', 'volume', 20)} > 1e-300 THEN (volume - {q.full('avg', 'volume', 20)}) / sqrt({q.full('var_pop', 'volume', 20)}) END"})
+of_bars("w13_obv", lambda: {"obv": ind.obv()}, {"obv": f"sum(coalesce(sign(close - pc), 0) * volume) OVER ({q.W})"}, 6, lambda b: b.withColumn("previous_close", lag("close")), f", p AS (SELECT *, lag(close) OVER ({q.W}) AS pc FROM bars)", "p")
 MFM = "(CASE WHEN high = low THEN 0 ELSE ((close - low) - (high - close)) / (high - low) END)"
-of_bars("w14_ad_line", {"ad": ind.ad_line()}, {"ad": f"sum({MFM} * volume) OVER ({q.W})"})
+of_bars("w14_ad_line", lambda: {"ad": ind.ad_line()}, {"ad": f"sum({MFM} * volume) OVER ({q.W})"})
 FLOW = f", t AS (SELECT *, (high + low + close) / 3 AS tp FROM bars), u AS (SELECT *, tp * volume AS fl, tp - lag(tp) OVER ({q.W}) AS ch FROM t), v AS (SELECT *, sum(CASE WHEN ch > 0 THEN fl ELSE 0 END) OVER {q.rows(14)} AS up, sum(CASE WHEN ch < 0 THEN fl ELSE 0 END) OVER {q.rows(14)} AS down FROM u)"
-of_bars("w15_mfi", {"mfi": F.col("mfi")}, {"mfi": "CASE WHEN bar_idx < 14 OR (up = 0 AND down = 0) THEN NULL WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END"}, 6, ind.mfi, FLOW, "v")
-of_bars("w16_vwap_rolling", {"vwap": ind.vwap_rolling(20)}, {"vwap": f"CASE WHEN count(close) OVER {q.rows(20)} = 20 THEN sum((high + low + close) / 3 * volume) OVER {q.rows(20)} / sum(volume) OVER {q.rows(20)} END"})
+of_bars("w15_mfi", lambda: {"mfi": F.col("mfi")}, {"mfi": "CASE WHEN bar_idx < 14 OR (up = 0 AND down = 0) THEN NULL WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END"}, 6, ind.mfi, FLOW, "v")
+of_bars("w16_vwap_rolling", lambda: {"vwap": ind.vwap_rolling(20)}, {"vwap": f"CASE WHEN count(close) OVER {q.rows(20)} = 20 THEN sum((high + low + close) / 3 * volume) OVER {q.rows(20)} / sum(volume) OVER {q.rows(20)} END"})
 SESS = f", s AS (SELECT *, sum(CASE WHEN lag_day IS NULL OR lag_day <> day THEN 1 ELSE 0 END) OVER ({q.W}) AS session FROM (SELECT *, lag(day) OVER ({q.W}) AS lag_day FROM (SELECT *, {NY}::DATE AS day FROM bars)))"
-of_bars("w17_vwap_session", {"vwap": F.col("vwap"), "session": F.col("session").cast("double")}, {"vwap": "sum((high + low + close) / 3 * volume) OVER (PARTITION BY asset, session ORDER BY bar_idx) / sum(volume) OVER (PARTITION BY asset, session ORDER BY bar_idx)", "session": "session::DOUBLE"}, 6, ind.vwap_session, SESS, "s")
-of_bars("w18_session_resets", {"reset": ind.session_resets(17)}, {"reset": "coalesce(lag_day <> day, true)"}, 0, None, f", s AS (SELECT *, lag(day) OVER ({q.W}) AS lag_day FROM (SELECT *, ({NY} - INTERVAL 17 HOUR)::DATE AS day FROM bars))", "s")
+of_bars("w17_vwap_session", lambda: {"vwap": F.col("vwap"), "session": F.col("session").cast("double")}, {"vwap": "sum((high + low + close) / 3 * volume) OVER (PARTITION BY asset, session ORDER BY bar_idx) / sum(volume) OVER (PARTITION BY asset, session ORDER BY bar_idx)", "session": "session::DOUBLE"}, 6, ind.vwap_session, SESS, "s")
+of_bars("w18_session_resets", lambda: {"reset": ind.session_resets(17)}, {"reset": "coalesce(lag_day <> day, true)"}, 0, None, f", s AS (SELECT *, lag(day) OVER ({q.W}) AS lag_day FROM (SELECT *, ({NY} - INTERVAL 17 HOUR)::DATE AS day FROM bars))", "s")
 
 
 def codes(spark, sf_dir, slow: int = 50) -> DataFrame:

@@ -186,3 +186,13 @@ def test_catalog_is_complete():
 
     assert len(catalog.queries()) >= 100 and set(catalog.oracle_sql()) <= set(catalog.queries())
 
+
+
+def test_entry_imports_without_a_session():
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], capture_output=True, text=True, timeout=120)
+    assert out.returncode == 0, out.stderr
