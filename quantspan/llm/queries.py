@@ -71,5 +71,17 @@ def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
+#: Every line covered by three lines in a row that stand earlier goes; what is left is hashed.
+LINES_SQL = """WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM l WHERE regexp_matches(line, '\\S')),
+w AS (SELECT doc_id, i, line || chr(10) || lead(line) OVER d || chr(10) || lead(line, 2) OVER d AS win FROM nb WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w WHERE win IS NOT NULL) WHERE k > 1),
+hit AS (SELECT DISTINCT doc_id, i + unnest([0, 1, 2]) AS i FROM rep),
+fl AS (SELECT l.doc_id, l.pos, l.line, nb.i, hit.i IS NOT NULL AS gone FROM l LEFT JOIN nb ON l.doc_id = nb.doc_id AND l.pos = nb.pos LEFT JOIN hit ON nb.doc_id = hit.doc_id AND nb.i = hit.i),
+ru AS (SELECT doc_id, count(*) AS n FROM hit WHERE (doc_id, i - 1) NOT IN (SELECT (doc_id, i) FROM hit) GROUP BY 1)
+SELECT fl.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_removed, coalesce(any_value(ru.n), 0)::BIGINT AS n_runs, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM fl LEFT JOIN ru ON fl.doc_id = ru.doc_id GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_winnowing_lines": LINES_SQL}
