@@ -21,6 +21,12 @@ class Costs:
     clamp: bool = False
     max_hold: int = 0
     mute_bars: int = 0
+    #: Set for currency pairs: stops and targets are pips, results are multiples of the risk taken.
+    pip: float = 0.0
+
+    @classmethod
+    def forex(cls, pip: float = 0.0001, **changes) -> Costs:
+        return cls(account=1.0, position=1.0, funding_pct=0.0, pip=pip).with_(**changes)
 
     @property
     def fee(self) -> float:
@@ -28,7 +34,7 @@ class Costs:
 
     @property
     def slip(self) -> float:
-        return self.slippage_pct * 0.01
+        return self.slippage_pct * (self.pip or 0.01)
 
     @property
     def funding(self) -> float:

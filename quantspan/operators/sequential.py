@@ -13,7 +13,7 @@ from quantspan.operators.simulate import funding_bar
 
 
 def simulate_sequential(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset",), session: str | None = None, session_end: str | None = None) -> DataFrame:
-    """As :func:`simulate`; ``code`` may also be 2 or 4 (close a long, a short). ``session`` and
+    """As :func:`simulate`, and for currency pairs (``costs.pip``); ``code`` may also be 2 or 4 (close a long, a short). ``session`` and
     ``session_end`` name boolean columns: bars outside are skipped, positions close at an end bar's open."""
     both = [F.col(session) if session else F.lit(True), F.col(session_end) if session_end else F.lit(False)]
     rows = signals.select(*keys, "bar_idx", "open", "high", "low", "code", funding_bar().alias("funded"), both[0].alias("inside"), both[1].alias("ending"))
@@ -30,10 +30,14 @@ def simulate_sequential(signals: DataFrame, costs: Costs = Costs(), keys: tuple[
             price = raw * (1 - side * costs.slip)
             fee = (costs.position + qty * price) * costs.fee
             move = qty * side * (price - entry)
-            if costs.clamp and costs.stop_pct > 0:
+            if costs.pip:  # in risks: a stop is one lost, a target the ratio won, other exits lie between
+                ratio = costs.target_pct / costs.stop_pct
+                risks = {"stop": -1.0, "target": ratio}.get(kind, min(max(side * (price - entry) / (costs.stop_pct * costs.pip), -1.0), ratio))
+                move = risks * costs.position
+            elif costs.clamp and costs.stop_pct > 0:
                 risk = qty * entry * costs.stop_pct / 100
                 move = max(min(move, risk * costs.target_pct / costs.stop_pct), -risk)
-            slippage = qty * costs.slip * (entry / (1 + side * costs.slip) + price / (1 - side * costs.slip))
+            slippage = 0.0 if costs.pip else qty * costs.slip * (entry / (1 + side * costs.slip) + price / (1 - side * costs.slip))
             net = move - fee - paid
             trades.append((len(trades), 0, side, int(idx[entered]), int(idx[k]), entry, price, qty, net, fee, slippage, paid, net + fee + slippage + paid, net, kind))
             side, paid = 0, 0.0
@@ -50,7 +54,7 @@ def simulate_sequential(signals: DataFrame, costs: Costs = Costs(), keys: tuple[
             elif ending and act in (1, 3):
                 act = 0
             if side and act not in (1, 3) and not ending:
-                stop, target = entry * (1 - side * costs.stop_pct / 100), entry * (1 + side * costs.target_pct / 100)
+                stop, target = (entry - side * costs.stop_pct * costs.pip, entry + side * costs.target_pct * costs.pip) if costs.pip else (entry * (1 - side * costs.stop_pct / 100), entry * (1 + side * costs.target_pct / 100))
                 on_stop = low[k] <= stop if side == 1 else h[k] >= stop
                 on_target = not on_stop and (h[k] >= target if side == 1 else low[k] <= target)
                 if costs.use_stop and on_stop or costs.use_target and on_target:

@@ -26,6 +26,8 @@ def simulate(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] =
     entry is not tested; a bar that touches both levels is a stop; the exit of a flip or of the last bar is
     at its open.
     """
+    if costs.pip or costs.max_hold:
+        raise ValueError("currency pairs and hold caps need simulate_sequential")
     fee, slip = F.lit(costs.fee) if fee is None else fee, F.lit(costs.slip) if slip is None else slip
     stop, target = F.lit(costs.stop_pct) if stop is None else stop, F.lit(costs.target_pct) if target is None else target
     c = F.col
@@ -61,11 +63,16 @@ def simulate(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] =
 
 
 def equity(trades: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """The account after each trade as a share of its start, and the fall from its high."""
+    """The account after each trade as a share of its start, and the fall from its high.
+
+    For currency pairs: the sum of risks won so far, from 0, and the fall in risks.
+    """
+    start = 0.0 if costs.pip else 1.0
     rows = Window.partitionBy(*keys).orderBy("trade_group_id").rowsBetween(Window.unboundedPreceding, 0)
-    out = trades.withColumn("ret", F.col("pnl") / costs.account).withColumn("equity", 1 + F.sum(F.col("pnl") / costs.account).over(rows))
-    out = out.withColumn("high_water", F.greatest(F.max("equity").over(rows), F.lit(1.0)))
-    return out.withColumn("drawdown", (F.col("high_water") - F.col("equity")) / F.col("high_water"))
+    out = trades.withColumn("ret", F.col("pnl") / costs.account).withColumn("equity", start + F.sum(F.col("pnl") / costs.account).over(rows))
+    out = out.withColumn("high_water", F.greatest(F.max("equity").over(rows), F.lit(start)))
+    fall = F.col("high_water") - F.col("equity")
+    return out.withColumn("drawdown", fall if costs.pip else fall / F.col("high_water"))
 
 
 def metrics(trades: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset",)) -> DataFrame:

@@ -12,6 +12,7 @@ from quantspan.functions.windows import lag, rolling, w
 from quantspan.operators import indicators as ind
 from quantspan.operators import signals as sig
 from quantspan.operators import simulate as sim
+from quantspan.operators.sequential import simulate_sequential
 from quantspan.plans import sql as q
 from quantspan.sources import bars as src
 
@@ -241,3 +242,11 @@ def regime_filter(spark, sf_dir):
     regime = sig.regimes(signals).select("asset", F.col("bar_idx").alias("entry_idx"), "regime")
     won, lost = F.coalesce(F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.lit(0.0)), F.coalesce(F.sum(F.when(F.col("pnl") <= 0, -F.col("pnl"))), F.lit(0.0))
     return sim.simulate(signals).join(regime, ["asset", "entry_idx"]).groupBy("asset", "regime", "side").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 4).alias("pnl"), ((F.count("*") > 3) & (won < lost)).alias("blocked"))
+
+
+# --- bar by bar ----------------------------------------------------------------------------------
+HELD = ["asset", "trade_group_id", "side", "entry_idx", "exit_idx", "exit_kind"]
+query("k6_hold_cap")(lambda s, d: simulate_sequential(codes(s, d), Costs(max_hold=10)).select(*HELD, rounded("pnl").alias("pnl")))
+query("k6_sessions")(lambda s, d: simulate_sequential(codes(s, d).withColumn("inside", minutes().between(480, 1010)).withColumn("ending", F.col("inside") & ~F.coalesce(F.lead("inside").over(w()), F.lit(False))), Costs(), session="inside", session_end="ending").select(*HELD, rounded("pnl").alias("pnl")))
+query("k8_sequential", f"WITH {q.crossed()}, {q.trades()} SELECT asset, trade_group_id, side, entry_idx, exit_idx, exit_kind, round(pnl, 6) AS pnl FROM trades")(lambda s, d: simulate_sequential(codes(s, d)).select(*HELD, rounded("pnl").alias("pnl")))
+query("k8_forex")(lambda s, d: shown_metrics(sim.metrics(simulate_sequential(codes(s, d), Costs.forex(pip=0.01, stop_pct=100.0, target_pct=300.0)), Costs.forex(pip=0.01))))

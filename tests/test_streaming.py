@@ -46,3 +46,15 @@ def test_bar_by_bar_equals_relational(spark):
     assert len(a) == len(b) and (a.exit_idx == b.exit_idx).all() and (a.pnl - b.pnl).abs().max() < 1e-8 and (a.exit_kind == b.exit_kind).all()
     held = simulate_sequential(coded, Costs(max_hold=5)).toPandas()
     assert (held.exit_idx - held.entry_idx <= 5).all() and (held.exit_kind == "hold").any()
+
+
+def test_currency_results_stay_within_the_risk_band(spark):
+    coded = signals.flips(signals.ema_cross(numbered(spark.createDataFrame(series()).drop("bar_idx").withColumn("time", F.col("time").cast("timestamp_ntz"))), 40))
+    costs = Costs.forex(pip=0.01, stop_pct=50.0, target_pct=150.0, fee_pct=0.0)
+    trades = simulate_sequential(coded, costs)
+    rows = trades.toPandas()
+    assert rows.pnl.between(-1, 3).all() and (rows[rows.exit_kind == "stop"].pnl == -1).all() and (rows[rows.exit_kind == "target"].pnl == 3).all()
+    m = {r["asset"]: r["roi"] for r in simulate.metrics(trades, costs).collect()}
+    assert m == pytest.approx(rows.groupby("asset").pnl.sum().to_dict())
+    with pytest.raises(ValueError):
+        simulate.simulate(coded, costs)
