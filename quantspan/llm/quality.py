@@ -94,7 +94,7 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: i
     ratio = log_ratios(seen, y[~apart])
     values = []
     for r in seen:
-        v = ratio[r]
+        v = ratio[r].astype(np.float32)
         norm = float(v @ v) ** 0.5
         values.append(v / norm if norm > 0 else v)
     share = np.array([(y[~apart] == c).mean() for c in (0, 1)])
@@ -115,10 +115,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "features": pa.array([ngram_features(x or "", table).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
 
     got = training_rows(docs, labels, label, train_rows).mapInArrow(run, "label int, features binary").toArrow()
-    rows, y = got["features"].to_pylist(), got["label"].to_pylist()
+    y = got["label"].to_pylist()
+    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["features"]]  # views of what Arrow holds, no copies
     # an order that does not depend on the partitions
     order = sorted(range(len(rows)), key=lambda i: (hashlib.blake2b(rows[i], digest_size=12).digest(), y[i]))
-    return fit_rows([np.frombuffer(rows[i], np.int32) for i in order], np.array([y[i] for i in order], np.int64))
+    model = fit_rows([rows[i] for i in order], np.array([y[i] for i in order], np.int64))
+    del got, rows
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
