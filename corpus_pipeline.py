@@ -20,6 +20,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents below this probability of good quality go; lower than the query's 0.7, as a lost clean document
 #: costs more than a poor one that stays.
 LEAST_QUALITY = 0.5
+#: One or two repeated lines go from so many words on.
+LEAST_WORDS = 50
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,8 +30,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Winnowing: runs of three lines or more that stand earlier go, and documents of which nothing is left."""
-    out = line_dedup(docs.select(COLUMNS), window=3)
+    """Winnowing: runs of three lines or of 50 words or more that stand earlier go, and documents of which nothing is left."""
+    out = line_dedup(docs.select(COLUMNS), window=3, least_words=LEAST_WORDS)
     out = out.where(~((F.col("n_removed") > 0) & (F.trim("kept_text") == "")))
     changed = F.col("n_removed") > 0
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)

@@ -7,7 +7,10 @@ both ways: every window that chose it is compared whole, and a window that stood
 document, or higher up in the same one) is a repeat. Runs of repeated windows are deleted; the first
 occurrence stays.
 
-What is deleted is thus exactly each line covered by ``window`` consecutive lines that occur earlier.
+What is deleted is thus exactly each line covered by ``window`` consecutive lines that occur earlier. With
+``least_words``, shorter windows of that many words count too, down to a single line: each is its own fingerprint.
+A line has as many words as blanks divide it into, or one for every eight bytes if those are more (scripts
+without blanks).
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import types as T
 from .shared import Workspace
 
 WINDOW = 3
+BYTES_A_WORD = 8
 _LAST = (1 << 63) - 1
 
 
@@ -34,35 +38,46 @@ def line_hashes(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
     return lines, np.array(at, np.int64), np.fromiter((xxhash.xxh3_64_intdigest(lines[k]) >> 1 for k in at), np.int64, len(at))
 
 
-def windows(text: str, size: int) -> tuple[np.ndarray, ...]:
-    """Of each window: the fingerprint, whether that hash is a fingerprint at another position of this
-    text too, a hash of the whole window, and whether that window stands further up in this text."""
-    _, _, h = line_hashes(text)
-    n = len(h) - size + 1
-    if n < 1:
-        return (np.zeros(0, np.int64),) * 4
-    view = np.lib.stride_tricks.sliding_window_view(h, size)
-    place = view.argmin(1) + np.arange(n)
-    chosen, times = np.unique(h[np.unique(place)], return_counts=True)
-    again = times[np.searchsorted(chosen, h[place])] > 1
-    whole = np.fromiter((xxhash.xxh3_64_intdigest(view[k].tobytes()) >> 1 for k in range(n)), np.int64, n)
+def windows(text: str, size: int, least_words: int | None = None) -> tuple[np.ndarray, ...]:
+    """Of each window: its first line, its lines, the fingerprint, whether that is a fingerprint at another position
+    of this text too, a hash of the whole window, and whether that window stands further up in this text."""
+    lines, at, h = line_hashes(text)
+    found = []
+    if (n := len(h) - size + 1) > 0:
+        view = np.lib.stride_tricks.sliding_window_view(h, size)
+        place = view.argmin(1) + np.arange(n)
+        chosen, times = np.unique(h[np.unique(place)], return_counts=True)
+        again = times[np.searchsorted(chosen, h[place])] > 1
+        found.append((np.arange(n), np.full(n, size), h[place], again, _wholes(h, np.arange(n), size)))
+    if least_words is not None:
+        words = np.fromiter((max(len(lines[k].split()), len(lines[k].encode()) // BYTES_A_WORD) for k in at), np.int64, len(at))
+        for short in range(1, min(size, len(h) + 1)):
+            start = np.flatnonzero(np.convolve(words, np.ones(short, np.int64), "valid") >= least_words)
+            whole = _wholes(h, start, short)
+            _, which, times = np.unique(whole, return_inverse=True, return_counts=True)
+            found.append((start, np.full(len(start), short), whole, times[which] > 1, whole))
+    if not found:
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
+    start, count, fingerprint, again, whole = (np.concatenate(c) for c in zip(*found, strict=True))
     _, first = np.unique(whole, return_index=True)
-    seen = np.ones(n, bool)
+    seen = np.ones(len(whole), bool)
     seen[first] = False
-    return h[place], again, whole, seen
+    return start, count, fingerprint, again, whole, seen
 
 
-def _windows(size: int):
+def _wholes(h: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(h[k : k + size].tobytes()) >> 1 for k in start), np.int64, len(start))
+
+
+def _windows(size: int, least_words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                found = [windows(x or "", size) for x in part.column(2).to_pylist()]
-                count = np.array([len(f[0]) for f in found])
-                rows = pa.array(np.repeat(np.arange(part.num_rows), count))
-                columns = [np.concatenate([f[c] for f in found]) for c in range(4)]
-                start = np.concatenate([np.arange(c) for c in count] or [np.zeros(0)]).astype(np.int32)
-                yield pa.RecordBatch.from_pydict({"doc": part.column(0).take(rows), "text_hash": part.column(1).take(rows), "start": start, "fingerprint": columns[0], "again": columns[1].astype(bool), "whole": columns[2], "seen": columns[3].astype(bool)})
+                found = [windows(x or "", size, least_words) for x in part.column(2).to_pylist()]
+                rows = pa.array(np.repeat(np.arange(part.num_rows), [len(f[0]) for f in found]))
+                start, lines, fingerprint, again, whole, seen = (np.concatenate([f[c] for f in found]) for c in range(6))
+                yield pa.RecordBatch.from_pydict({"doc": part.column(0).take(rows), "text_hash": part.column(1).take(rows), "start": start.astype(np.int32), "lines": lines.astype(np.int32), "fingerprint": fingerprint, "again": again.astype(bool), "whole": whole, "seen": seen.astype(bool)})
 
     return run
 
@@ -73,11 +88,11 @@ def _without(size: int, text_col: str):
             for b in range(0, batch.num_rows, 256):
                 part = batch.slice(b, 256)
                 texts, counts = [], []
-                for row, starts in zip(part.column(0), part.column(1).to_pylist(), strict=True):
+                for row, spans in zip(part.column(0), part.column(1).to_pylist(), strict=True):
                     lines, at, _ = line_hashes(row[text_col].as_py())
                     gone = np.zeros(len(at), bool)
-                    for s in starts:
-                        gone[s : s + size] = True
+                    for s in spans:
+                        gone[s // size : s // size + s % size + 1] = True
                     drop = set(at[gone].tolist())
                     texts.append("\n".join(x for k, x in enumerate(lines) if k not in drop))
                     counts.append((len(lines), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(np.int8)])) == 1).sum())))
@@ -87,7 +102,7 @@ def _without(size: int, text_col: str):
     return run
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, least_words: int | None = None) -> DataFrame:
     """Every row of ``docs`` with all its columns, and ``kept_text, n_lines, n_removed, n_runs``.
 
     Documents are ordered by id, null ids last; rows that share an id are not earlier than one another.
@@ -97,18 +112,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(docs.sparkSession, "linededup")
     docs = docs.withColumn(text_col, F.col(text_col).cast("string"))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text_col), F.lit(1)).alias("text_hash"), F.struct("*").alias("row"))
-    found = keyed.select("doc", "text_hash", F.col("row")[text_col].alias("text")).mapInArrow(_windows(window), "doc long, text_hash long, start int, fingerprint long, again boolean, whole long, seen boolean")
+    found = keyed.select("doc", "text_hash", F.col("row")[text_col].alias("text")).mapInArrow(_windows(window, least_words), "doc long, text_hash long, start int, lines int, fingerprint long, again boolean, whole long, seen boolean")
     found = work.table(found, "windows")
     met = found.groupBy("fingerprint").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("again")).where("first < last or again")
     matched = found.join(met.select("fingerprint"), "fingerprint", "left_semi")
     origin = matched.groupBy("whole").agg(F.min("doc").alias("origin"))
     repeats = matched.join(origin, "whole").where("doc > origin or seen")
-    repeats = work.table(repeats.groupBy("doc", "text_hash").agg(F.collect_set("start").alias("starts")), "repeats")
+    span = F.col("start").cast("long") * window + F.col("lines") - 1
+    repeats = work.table(repeats.groupBy("doc", "text_hash").agg(F.collect_set(span).alias("spans")), "repeats")
     work.drop("windows")
-    both = keyed.join(repeats.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "starts")
+    both = keyed.join(repeats.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "spans")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
-    changed = both.where("starts is not null").mapInArrow(_without(window, text_col), schema)
+    changed = both.where("spans is not null").mapInArrow(_without(window, text_col), schema)
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
-    same = both.where("starts is null").select("row", F.col("row")[text_col].alias("kept"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))
+    same = both.where("spans is null").select("row", F.col("row")[text_col].alias("kept"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))
     return same.unionByName(changed).select("row.*", F.col("kept").alias("kept_text"), "n_lines", "n_removed", "n_runs")

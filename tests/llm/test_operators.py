@@ -136,6 +136,41 @@ def test_line_dedup_equals_brute_force(spark):
     assert linededup.line_dedup(frame(spark, [])).count() == 0
 
 
+def test_long_lines_equal_brute_force(spark):
+    """One and two lines of many words are repeats too, also in documents that have no third line."""
+    rnd, least = random.Random(9), 12
+    long = [" ".join(rnd.choice("abcdefgh") * 3 for _ in range(k)) for k in (12, 13, 11, 7, 6, 5)] + ["字" * 40, "字" * 20]
+    rows = texts(2) + [(100 + k, "\n".join(rnd.choice(long) for _ in range(1 + k % 5))) for k in range(60)] + [(None, long[0]), (9, long[0])]
+    got = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as doc", "2 as spans", "3 as lines"), window=3, least_words=least).toPandas()
+    place = lambda r: 1 << 62 if r[0] is None else r[0]
+    size = lambda x: max(len(x.split()), len(x.encode()) // 8)
+
+    def spans(t):
+        at = [(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip()]
+        for p in range(len(at)):
+            for k in (1, 2, 3):
+                key = tuple(x for _, x in at[p : p + k])
+                if len(key) == k and (k == 3 or sum(map(size, key)) >= least):
+                    yield key, {x for x, _ in at[p : p + k]}
+
+    first: dict = {}
+    for r in rows:
+        for key, _ in spans(r[1]):
+            first[key] = min(first.get(key, 1 << 63), place(r))
+    want, short = [], 0
+    for r in rows:
+        gone, seen = set(), set()
+        for key, lines in spans(r[1]):
+            if first[key] < place(r) or key in seen:
+                gone |= lines
+                short += len(key) < 3
+            seen.add(key)
+        runs = sum(k - 1 not in gone for k in gone) if "\n\n" not in (r[1] or "") else None
+        want.append((r[0], r[1] if not gone else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone), len(gone), runs))
+    have = [(None if r.doc_id != r.doc_id else int(r.doc_id), r.kept_text, r.n_removed, r.n_runs if "\n\n" not in (r.text or "") else None) for r in got.itertuples()]
+    assert sorted(map(str, have)) == sorted(map(str, want)) and short > 50
+
+
 def test_repeated_strings_equal_brute_force(spark):
     rows, length = texts(3), 60
     got = substrings.remove_repeats(frame(spark, rows), length=length, reaches=(24, 5, 1)).toPandas()

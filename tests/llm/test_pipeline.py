@@ -37,3 +37,11 @@ def test_queries_are_registered():
 
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.queries())
     assert numbers == list(range(1, 11))
+
+
+def test_long_lines_go_in_the_pipeline(spark):
+    long = " ".join(f"word{k}" for k in range(corpus_pipeline.LEAST_WORDS))
+    rows = [(1, long), (2, long), (3, f"own\n{long}"), (4, "short"), (5, "short")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.line_runs(spark, docs, "").collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == [(1, long), (3, "own"), (4, "short"), (5, "short")]
