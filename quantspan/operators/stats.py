@@ -72,27 +72,29 @@ def rejections(pvalues: DataFrame, alpha: float = 0.05) -> DataFrame:
     return ranked.withColumn("bonferroni", F.col("p") <= F.lit(alpha) / F.col("n")).withColumn("holm", F.min(passed.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)) == 1).withColumn("bh", F.coalesce(F.col("rank") <= below, F.lit(False)))
 
 
-def cscv(returns: DataFrame, folds: int) -> DataFrame:
-    """``returns``: strategy, t, ret with t from 0 -> a row for each split: the winner's rank out of sample, as a logit.
+def cscv(returns: DataFrame, folds: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """``returns``: keys, strategy, t, ret with t from 0 -> a row for each split of each family: the winner's rank out of sample, as a logit.
 
     Each split needs only counts, sums and sums of squares of its folds; the series is read once.
     """
-    spark = returns.sparkSession
-    size = returns.agg((F.max("t") + 1).alias("length"), F.count_distinct("strategy").alias("tried"))
+    spark, by = returns.sparkSession, list(keys)
+    size = returns.groupBy(*by).agg((F.max("t") + 1).alias("length"), F.count_distinct("strategy").alias("tried"))
+    sized = returns.join(F.broadcast(size), by) if by else returns.crossJoin(F.broadcast(size))
     fold = F.array_position(F.transform(F.sequence(F.lit(1), F.lit(folds)), lambda k: F.col("t") < F.floor(k * F.col("length") / folds)), F.lit(True)) - 1
-    parts = returns.crossJoin(F.broadcast(size)).withColumn("fold", fold.cast("int")).groupBy("strategy", "fold", "tried").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
+    parts = sized.withColumn("fold", fold.cast("int")).groupBy(*by, "strategy", "fold", "tried").agg(F.count("*").alias("n"), F.sum("ret").alias("s"), F.sum(F.col("ret") * F.col("ret")).alias("ss"))
     splits = spark.createDataFrame([(i, k, k in c) for i, c in enumerate(combinations(range(folds), folds // 2)) for k in range(folds)], "split int, fold int, inside boolean")
-    sums = parts.join(F.broadcast(splits), "fold").groupBy("split", "strategy", "inside", "tried").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    sums = parts.join(F.broadcast(splits), "fold").groupBy(*by, "split", "strategy", "inside", "tried").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     mean = F.col("s") / F.col("n")
     variance = F.greatest((F.col("ss") - F.col("n") * mean * mean) / (F.col("n") - 1), F.lit(0.0))
     sums = sums.withColumn("sharpe", F.coalesce(F.try_divide(mean, F.nullif(F.sqrt(variance), F.lit(0.0))), F.lit(0.0)))
-    both = sums.groupBy("split", "strategy", "tried").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("sr_in"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("sr_out"))
-    ranked = both.withColumn("winner", F.row_number().over(Window.partitionBy("split").orderBy(F.desc("sr_in"), "strategy"))).withColumn("rank", F.row_number().over(Window.partitionBy("split").orderBy("sr_out", "strategy")))
-    return ranked.where("winner = 1").select("split", "strategy", "rank", F.ln(F.col("rank") / (F.col("tried") + 1 - F.col("rank"))).alias("lambda"))
+    both = sums.groupBy(*by, "split", "strategy", "tried").agg(F.max(F.when(F.col("inside"), F.col("sharpe"))).alias("sr_in"), F.max(F.when(~F.col("inside"), F.col("sharpe"))).alias("sr_out"))
+    split = Window.partitionBy(*by, "split")
+    ranked = both.withColumn("winner", F.row_number().over(split.orderBy(F.desc("sr_in"), "strategy"))).withColumn("rank", F.row_number().over(split.orderBy("sr_out", "strategy")))
+    return ranked.where("winner = 1").select(*by, "split", "strategy", "rank", F.ln(F.col("rank") / (F.col("tried") + 1 - F.col("rank"))).alias("lambda"))
 
 
-def overfitting_probability(splits: DataFrame) -> DataFrame:
-    return splits.agg(F.avg((F.col("lambda") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"))
+def overfitting_probability(splits: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    return splits.groupBy(*keys).agg(F.avg((F.col("lambda") <= 0).cast("double")).alias("pbo"), F.count("*").alias("splits"))
 
 
 def block_indices(n: int, replicas: int, mean_block: float, seed: int) -> np.ndarray:

@@ -102,3 +102,17 @@ def splits(s, d):
 
 add("t9_cscv", f"{CS} SELECT lb AS strategy, rank::INT AS rank, count(*)::BIGINT AS splits, round(sum(lam), 6) AS total FROM la GROUP BY 1, 2", lambda s, d: splits(s, d).groupBy("strategy", "rank").agg(F.count("*").alias("splits"), rounded(F.sum("lambda")).alias("total")))
 add("t9_pbo", f"{CS} SELECT round(avg((lam <= 0)::INT::DOUBLE), 6) AS pbo, count(*)::BIGINT AS splits FROM la", lambda s, d: stats.overfitting_probability(splits(s, d)).select(rounded("pbo").alias("pbo"), "splits"))
+
+
+#: The reference's number of folds: 12,870 splits.
+FOLDS = 16
+
+
+def all_splits(s, d):
+    """Splits of every asset."""
+    ret = F.coalesce(F.try_divide(F.col("close"), F.lag("close").over(w("asset", "lb"))) - 1, F.lit(0.0)) * F.col("raw")
+    return stats.cscv(cross(s, d).select("asset", F.col("lb").alias("strategy"), F.col("bar_idx").alias("t"), ret.alias("ret")), FOLDS, ("asset",))
+
+
+add("t9_cscv_assets", None, lambda s, d: all_splits(s, d).groupBy("asset", "strategy", "rank").agg(F.count("*").alias("splits"), rounded(F.sum("lambda")).alias("total")))
+add("t9_pbo_assets", None, lambda s, d: stats.overfitting_probability(all_splits(s, d), ("asset",)).select("asset", rounded("pbo").alias("pbo"), "splits"))

@@ -165,6 +165,19 @@ def test_cscv_equals_rescans(spark):
         assert (got["strategy"][k], got["rank"][k]) == (str(best), rank)
 
 
+def test_cscv_of_families(spark):
+    """Each family has the splits it has alone, also when lengths differ."""
+    rng, rows = np.random.default_rng(4), []
+    for name, length in (("a", 80), ("b", 57)):
+        rows += [(name, str(k), t, float(v)) for k in range(3) for t, v in enumerate(rng.normal(size=length))]
+    returns = spark.createDataFrame(rows, "asset string, strategy string, t long, ret double")
+    got = stats.cscv(returns, 4, ("asset",))
+    for name in ("a", "b"):
+        alone = stats.cscv(returns.where(f"asset = '{name}'"), 4).select("split", "strategy", "rank").collect()
+        assert sorted(got.where(f"asset = '{name}'").select("split", "strategy", "rank").collect()) == sorted(alone) and len(alone) == 6
+    assert sorted((r["asset"], r["splits"]) for r in stats.overfitting_probability(got, ("asset",)).collect()) == [("a", 6), ("b", 6)]
+
+
 def test_bootstrap_places_and_monte_carlo(spark):
     at = stats.block_indices(50, 30, 10.0, 1)
     assert at.shape == (30, 50) and ((at >= 0) & (at < 50)).all()
