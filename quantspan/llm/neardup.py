@@ -1,29 +1,29 @@
 """MinHash near-duplicates by a multi-index Hamming join of b-bit signatures.
 
-1. Every text becomes the set of its word shingles. Equal sets are one node; from here on copies are
-   never met again. A node's signature is ``VALUES`` MinHash values of 16 bits.
+1. Every text becomes the set of its word shingles. Equal sets (by a 128-bit digest) are one node; from here
+   on copies are never met again. A node's signature is ``VALUES`` MinHash values of 16 bits.
 2. Signatures are cut into chunks of ``c`` values. If two differ in fewer than chunks * (e + 1) values,
    some chunk differs in at most ``e`` of its values (pigeonhole); leaving out every choice of ``e``
-   values gives keys, at least one of which they share. So all pairs under that distance meet.
-3. In each bucket every node is compared with the smallest one. Confirmed links are joined to components,
-   and only pairs that lie in different components go on: of small buckets all of them; nodes
-   of large buckets are hashed again to longer keys (texts that merely have a long passage in common
-   part here). What still shares a large bucket is compared exactly, block of sets against block of
-   sets; no pair is a row unless it is a link.
-4. Any other compared pair must pass a generous signature distance and is then confirmed on the full sets.
+   values gives keys, at least one of which they share. So all pairs under that distance meet in a bucket.
+3. In each bucket every node is compared with the smallest one, and links are joined to components.
+4. A bucket that still holds several components is cut into blocks of bounded size; the nodes of its largest
+   component have blocks of their own, which are never compared with one another. Block meets block in one
+   task: first by signature, which leaves few nodes, then on the full sets. A pair that shares several
+   buckets is compared only in the first of them, which its two signatures tell. No pair is a row
+   unless it is a link, and of links only those that join two components of a task.
+
+Every compared pair must pass a generous signature distance and is then confirmed on the full sets.
 """
 
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -32,15 +32,11 @@ from .shared import Workspace, columns_as
 #: Values of a signature, values of a chunk and errors allowed in it. A pair of Jaccard similarity 0.8 that
 #: shares no key is as rare as (1 - .8^5 - 5 * .2 * .8^4)^10, about 2 in a million.
 VALUES, CHUNK, ERRORS = 50, 5, 1
-#: The longer keys for the nodes of large buckets: 75 chunks of 8 values, (1 - .8^8)^75, 1 in a million.
-LONG_CHUNKS, LONG_CHUNK = 75, 8
+KEYS = VALUES // CHUNK * CHUNK  # a way to leave out one value, of every chunk
 #: Pairs whose signatures differ in more values are not confirmed; at similarity 0.8 that is 4 in 10^8.
 MOST_DIFFERENT = 25
-#: Buckets of up to so many nodes have all their open pairs compared.
-SMALL_BUCKET = 64
-#: Sets of a block in which the nodes of large buckets are compared.
-BLOCK = 256
-
+#: A block has about so many nodes or shingles at most; what a task holds is two blocks.
+BLOCK, BLOCK_ITEMS = 2048, 1 << 21
 
 def shingle_hashes(text: str, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles of ``width`` words.
@@ -76,9 +72,9 @@ def minhash(shingles: np.ndarray, times: np.ndarray, masks: np.ndarray) -> np.nd
     return ((least ^ (least >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype("<u2")
 
 
-def node_of(shingles: np.ndarray) -> int:
-    """Equal sets have the same node: 63 bits of a digest of the set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little") >> 1
+def digest_of(shingles: np.ndarray) -> bytes:
+    """Equal sets have the same digest."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _texts(batches: Iterator[pa.RecordBatch], width: int):
@@ -89,50 +85,54 @@ def _texts(batches: Iterator[pa.RecordBatch], width: int):
 
 
 def marks(docs: DataFrame, width: int) -> DataFrame:
-    """``doc_id, n_shingles, node, sig`` of each text."""
+    """``doc_id, n_shingles, digest, sig`` of each text."""
 
     def run(batches):
         times, masks = _multipliers(VALUES)
         for ids, sets in _texts(batches, width):
-            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "node": pa.array([node_of(s) for s in sets], pa.int64()), "sig": pa.array([minhash(s, times, masks).tobytes() for s in sets], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([digest_of(s) for s in sets], pa.binary()), "sig": pa.array([minhash(s, times, masks).tobytes() for s in sets], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, node long, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for _, sets in _texts(batches, width):
-            yield pa.RecordBatch.from_pydict({"node": pa.array([node_of(s) for s in sets], pa.int64()), "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
-
-    return docs.mapInArrow(run, "node long, items array<long>")
+            yield pa.RecordBatch.from_pydict({"digest": pa.array([digest_of(s) for s in sets], pa.binary()), "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
+    return docs.mapInArrow(run, "digest binary, items array<long>")
 
-def long_keys(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches):
-        times, masks = _multipliers(LONG_CHUNKS * LONG_CHUNK)
-        for _, sets in _texts(batches, width):
-            for s in sets:
-                sig = minhash(s, times, masks).tobytes()
-                keys = [xxhash.xxh3_64_intdigest(sig[2 * LONG_CHUNK * k : 2 * LONG_CHUNK * (k + 1)], k) >> 1 for k in range(LONG_CHUNKS)]
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.int64()), "node": pa.array([node_of(s)] * LONG_CHUNKS, pa.int64())})
 
-    return docs.mapInArrow(run, "key long, node long")
+def signatures(column: pa.Array, values: int = VALUES) -> np.ndarray:
+    """[rows, values] of a column of signatures."""
+    return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, values)
 
 
 def signature_keys(nodes: DataFrame) -> DataFrame:
-    """``key, node``: of every chunk, each way to leave out ``ERRORS`` of its values."""
-    keys: list[Column] = []
-    for chunk in range(VALUES // CHUNK):
-        at = 2 * CHUNK * chunk
-        for out in range(CHUNK):
-            kept = F.concat(F.substring("sig", at + 1, 2 * out), F.substring("sig", at + 2 * out + 3, 2 * (CHUNK - out - 1)))
-            keys.append(F.xxhash64(F.lit(chunk * CHUNK + out), kept))
-    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node")
+    """``key, node``: of every chunk, each way to leave out one of its values; the key's last 6 bits say which."""
+
+    def run(batches):
+        for batch in batches:
+            sig, node = signatures(batch.column(1)).astype(np.uint64), batch.column(0).to_numpy()
+            for slot in range(KEYS):
+                h = np.full(len(sig), slot + 1, np.uint64)
+                for k in range(slot - slot % CHUNK, slot - slot % CHUNK + CHUNK):
+                    if k != slot:
+                        h = (h ^ (h >> np.uint64(29)) ^ sig[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+                h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+                h ^= h >> np.uint64(31)
+                yield pa.RecordBatch.from_pydict({"key": ((h >> np.uint64(6) << np.uint64(6)) | np.uint64(slot)).view(np.int64), "node": node})
 
+    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
 
-def different(a: str, b: str) -> Column:
-    """In how many values two signatures differ."""
-    return sum((F.substring(a, 2 * k + 1, 2) != F.substring(b, 2 * k + 1, 2)).cast("int") for k in range(VALUES))
+
+def first_slots(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of each pair of signatures, the first of the keys that they share; KEYS where there is none."""
+    same = (one == other).reshape(len(one), -1, CHUNK)
+    near = same.sum(2) >= CHUNK - ERRORS
+    chunk = near.argmax(1)
+    left_out = (~same[np.arange(len(one)), chunk]).argmax(1)  # 0 if all are equal
+    return np.where(near.any(1), chunk * CHUNK + left_out, KEYS)
 
 
 def buckets(keys: DataFrame) -> DataFrame:
@@ -141,42 +141,102 @@ def buckets(keys: DataFrame) -> DataFrame:
     return keys.join(shared.select("key", "lead"), "key")
 
 
-def stars(bucketed: DataFrame) -> DataFrame:
-    return bucketed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+def _signature_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = (signatures(batch.column(4)) != signatures(batch.column(5))).sum(1) <= MOST_DIFFERENT
+        yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(keep))
 
 
-def set_overlaps(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of every set of ``x`` with every set of ``y``."""
-    flat = [(np.concatenate(s), np.repeat(np.arange(len(s)), [len(a) for a in s])) for s in (x, y)]
-    common = np.intersect1d(flat[0][0], flat[1][0])
-    out = np.zeros((len(x), len(y)), np.float32)
-    for k in range(0, len(common), columns):
-        part, tables = common[k : k + columns], []
-        for (items, rows), n in zip(flat, out.shape, strict=True):
-            at = np.searchsorted(part, items).clip(max=len(part) - 1)
-            has = part[at] == items
-            table = np.zeros((n, len(part)), np.float32)
-            table[rows[has], at[has]] = 1
-            tables.append(table)
-        out += tables[0] @ tables[1].T
-    return out
+def groups_of(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.Table]:
+    """The rows of a partition sorted by its first ``by`` columns, one table for each of their values."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(by)], 1)
+        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+        for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+            now = tuple(key[low])
+            if held and now != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(low, high - low))
+            last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def open_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (x, y) and equal values of the pairs of a task's group that are compared here: of different
+    components, similar by size and signature, and with this bucket as the first that they share."""
+    slot, within = group["key"][0].as_py() & 63, group["one"][0].as_py() == group["other"][0].as_py()
+    sig, size, component, block = signatures(group["sig"].combine_chunks()), *(group[c].to_numpy() for c in ("n_shingles", "component", "block"))
+    xs = np.flatnonzero(block == group["one"][0].as_py())
+    ys = xs if within else np.flatnonzero(block != group["one"][0].as_py())
+    columns = np.ascontiguousarray(sig[ys].T)
+    out = []
+    for k in range(0, len(xs), 256):
+        x = xs[k : k + 256]
+        equal = np.zeros((len(x), len(ys)), np.uint8)
+        for v in range(VALUES):
+            equal += sig[x, v][:, None] == columns[v]
+        close = (equal >= VALUES - MOST_DIFFERENT) & (component[x][:, None] != component[ys])
+        close &= np.minimum(size[x][:, None], size[ys]) * 100 >= np.maximum(size[x][:, None], size[ys]) * percent
+        if within:
+            close &= x[:, None] < ys
+        i, j = np.nonzero(close)
+        for p in range(0, len(i), 1 << 16):
+            at, to = i[p : p + (1 << 16)], j[p : p + (1 << 16)]
+            here = first_slots(sig[x[at]], sig[ys[to]]) == slot
+            out.append((x[at[here]], ys[to[here]], equal[at[here], to[here]]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
+
+
+GROUPED = "key long, one int, other int, block int, node long, component long, n_shingles long, sig binary"
+
+
+def _screen(percent: int):
+    """Of each task's rows, those that are in a pair to compare."""
 
+    def run(batches):
+        for group in groups_of(batches, 3):
+            x, y, _ = open_pairs(group, percent)
+            if len(x):
+                yield from group.take(pa.array(np.unique(np.concatenate([x, y])))).combine_chunks().to_batches()
+
+    return run
 
-def _pack(group: pd.DataFrame) -> pd.DataFrame:
-    held = pickle.dumps((group["node"].to_numpy(), group["component"].to_numpy(), [np.asarray(x, np.int64) for x in group["items"]]))
-    return pd.DataFrame({"top": [group["top"].iloc[0]], "block": [group["block"].iloc[0]], "sets": [held]})
 
+def _links(percent: int):
+    """Links that join two components of a task's rows, confirmed on the full sets."""
 
-def _compare(percent: int):
     def run(batches):
-        for batch in batches:
-            for one, other in zip(batch["sets_x"], batch["sets_y"], strict=True):
-                (na, ca, sa), (nb, cb, sb) = pickle.loads(one), pickle.loads(other)
-                size_a, size_b = (np.array([len(s) for s in x], np.float32) for x in (sa, sb))
-                shared = set_overlaps(sa, sb)
-                a, b = np.nonzero((100 * shared >= percent * (size_a[:, None] + size_b - shared)) & (ca[:, None] != cb))
-                links = pd.DataFrame({"a": na[a], "b": nb[b], "of_a": ca[a], "of_b": cb[b]})
-                yield links.drop_duplicates(["of_a", "of_b"])[["a", "b"]]  # one link joins two components
+        for group in groups_of(batches, 3):
+            x, y, equal = open_pairs(group, percent)
+            node, component = group["node"].to_numpy(), group["component"].to_numpy()
+            items = group["items"].combine_chunks()
+            flat, ends = items.values.to_numpy(), items.offsets.to_numpy()
+            above: dict[int, int] = {}
+
+            def top(c: int, above=above) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            found = []
+            for k in np.argsort(-equal.astype(np.int16), kind="stable").tolist():
+                i, j = int(x[k]), int(y[k])
+                p, q = top(int(component[i])), top(int(component[j]))
+                if p == q:
+                    continue
+                one, other = flat[ends[i] : ends[i + 1]], flat[ends[j] : ends[j + 1]]
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                if 100 * shared >= percent * (len(one) + len(other) - shared):
+                    above[max(p, q)] = min(p, q)
+                    found.append((node[i], node[j]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], names=["a", "b"])
 
     return run
 
@@ -188,96 +248,71 @@ class Join:
         self.docs, self.width, self.percent = docs, width, percent
         self.work = Workspace(docs.sparkSession, "neardup")
         self.marks = self.work.table(marks(docs, width), "marks")
-        nodes = self.marks.where("n_shingles > 0 and doc_id is not null").groupBy("node", "n_shingles", "sig").agg(F.min("doc_id").alias("rep"))
-        self.nodes = self.work.table(nodes, "nodes")
-        self.links: DataFrame | None = None
-        self.steps = 0
-
-    def texts(self, nodes: DataFrame) -> DataFrame:
-        """One text of each node."""
-        ids = self.nodes.join(nodes, "node", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        return self.docs.join(ids, "doc_id", "left_semi")
-
-    def confirm(self, pairs: DataFrame) -> None:
-        """Add those of the pairs ``a, b`` to the links that are similar enough on the full sets."""
-        self.steps += 1
+        nodes = self.marks.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        self.nodes = self.work.table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    def sets(self, nodes: DataFrame, name: str) -> DataFrame:
+        """``node, items``: the full sets of the given nodes, from one text of each."""
+        wanted = self.nodes.join(nodes, "node", "left_semi").select("node", "digest", F.col("rep").alias("doc_id"))
+        wanted = self.work.table(wanted, f"{name}-wanted")
+        texts = self.docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+        return self.work.table(sets_of(texts, self.width).join(wanted.select("node", "digest"), "digest").select("node", "items"), name)
+
+    def stars(self, bucketed: DataFrame) -> DataFrame:
+        """Links between the smallest node of a bucket and each other one, confirmed on the full sets."""
+        pairs = bucketed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         one = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
-        near = pairs.join(one("a"), "a").join(one("b"), "b")
-        near = near.where((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent) & (different("sig_a", "sig_b") <= MOST_DIFFERENT))
-        near = self.work.table(near.select("a", "b", "n_a", "n_b"), f"near-{self.steps}")
-        sets = sets_of(self.texts(near.select(F.explode(F.array("a", "b")).alias("node")).distinct()), self.width)
-        sets = self.work.table(sets, f"sets-{self.steps}")
+        near = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
+        near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_signature_filter, "a long, b long, n_a long, n_b long")
+        near = self.work.table(near, "near")
+        sets = self.sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "star-sets")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
         shared = F.size(F.array_intersect("items_a", "items_b"))
         links = both.where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * self.percent).select("a", "b")
-        links = self.work.table(links, f"links-{self.steps}")
-        self.work.drop(f"near-{self.steps}", f"sets-{self.steps}")
-        self.links = links if self.links is None else self.links.unionByName(links)
-
-    def labels(self) -> DataFrame:
-        self.steps += 1
-        return components(self.links, self.work, f"components-{self.steps}")
-
-    def open(self, bucketed: DataFrame) -> DataFrame:
-        """Rows of buckets that hold more than one component, with the bucket's size."""
-        labelled = bucketed.join(self.labels(), "node", "left").select("key", "node", "lead", F.coalesce("component", "node").alias("component"))
-        mixed = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size")).where("low <> high and size > 2")
-        return labelled.join(mixed.select("key", "size"), "key")
-
-    @staticmethod
-    def across(rows: DataFrame) -> DataFrame:
-        """Pairs of one bucket and different components, but for those with the smallest node."""
-        rows = rows.where("node <> lead")
-        x, y = (rows.select("key", F.col("node").alias(n), F.col("component").alias(f"of_{n}")) for n in ("a", "b"))
-        return x.join(y, "key").where("a < b and of_a <> of_b").select("a", "b").distinct()
-
-    def confirm_blocks(self, rows: DataFrame) -> None:
-        """Links between components within the buckets of ``rows``, by comparing blocks of whole sets.
-
-        Every node belongs to its largest bucket, the pairs of these that meet in some bucket are compared
-        block by block: their number depends on the buckets, and no task holds more than two blocks.
-        """
-        self.steps += 1
-        work, name = self.work, str(self.steps)
-        rows = work.table(rows, f"rows-{name}")
-        tops = rows.groupBy("node", "component").agg(F.max_by("key", F.struct("size", "key")).alias("top"))
-        tops = work.table(tops, f"tops-{name}")
-        met = rows.select("key", "node").join(tops.select("node", "top"), "node").select("key", "top").distinct()
-        met = met.join(met.withColumnRenamed("top", "top_y"), "key").where("top <= top_y").select("top", "top_y").distinct()
-        sets = work.table(sets_of(self.texts(tops.select("node")), self.width), f"sets-{name}")
-        sized = tops.join(tops.groupBy("top").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "top")
-        placed = sized.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).join(sets.dropDuplicates(["node"]), "node")
-        blobs = work.table(placed.select("top", "block", "node", "component", "items").groupBy("top", "block").applyInPandas(_pack, "top long, block long, sets binary"), f"blobs-{name}")
-        x, y = (blobs.select(*(F.col(c).alias(f"{c}_{k}") for c in ("top", "block", "sets"))) for k in ("x", "y"))
-        places = [b.select(*b.columns[:2]) for b in (x, y)]
-        tasks = met.withColumnRenamed("top", "top_x").join(places[0], "top_x").join(places[1], "top_y").where("top_x < top_y or block_x <= block_y")
-        tasks = tasks.join(x, ["top_x", "block_x"]).join(y, ["top_y", "block_y"]).select("sets_x", "sets_y")
-        links = work.table(tasks.repartition(int(work.spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(_compare(self.percent), "a long, b long"), f"links-{name}")
-        work.drop(f"rows-{name}", f"sets-{name}", f"blobs-{name}")
-        self.links = self.links.unionByName(links)
+        return self.work.table(links, "star-links")
+
+    def open(self, bucketed: DataFrame, found: DataFrame) -> DataFrame:
+        """The rows of buckets with more than one component and more than the one pair that is compared
+        already, once for each pair of blocks ``one, other`` that they are compared in."""
+        rows = bucketed.join(found, "node", "left").join(self.nodes.select("node", "n_shingles"), "node").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        rows = self.work.table(rows, "labelled")
+        parts = rows.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("items"))
+        most = F.max(F.struct("n", "component", "items"))
+        sizes = parts.groupBy("key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("items").alias("items")).where("n > most.n and n > 2")
+        cut = lambda n, items: F.ceil(F.greatest(n / BLOCK, items / BLOCK_ITEMS)).cast("int")
+        sizes = sizes.select("key", F.col("most.component").alias("major"), cut(F.col("n") - F.col("most.n"), F.col("items") - F.col("most.items")).alias("minor_blocks"), cut(F.col("most.n"), F.col("most.items")).alias("major_blocks"))
+        rows = rows.join(sizes, "key")
+        minor = F.col("component") != F.col("major")
+        dealt = lambda blocks: F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")
+        block = F.when(minor, dealt("minor_blocks")).otherwise(F.col("minor_blocks") + dealt("major_blocks"))
+        met = F.sequence(F.lit(0), F.col("minor_blocks") + F.when(minor, F.col("major_blocks")).otherwise(F.lit(0)) - 1)
+        rows = rows.select("key", "node", "n_shingles", "component", block.alias("block"), F.explode(met).alias("met"))
+        return rows.select("key", F.least("block", "met").alias("one"), F.greatest("block", "met").alias("other"), "block", "node", "component", "n_shingles")
+
+    def blocks(self, rows: DataFrame) -> DataFrame:
+        """Links between components within open buckets."""
+        tasks = ["key", "one", "other"]
+        held = rows.join(self.nodes.select("node", "sig"), "node").select(*(c.split()[0] for c in GROUPED.split(", ")))
+        held = held.repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(_screen(self.percent), GROUPED)
+        held = self.work.table(held, "screened")
+        sets = self.sets(held.select("node").distinct(), "block-sets")
+        full = held.join(sets, "node").select(*held.columns, "items").repartition(*tasks).sortWithinPartitions(*tasks)
+        return self.work.table(full.mapInArrow(_links(self.percent), "a long, b long"), "block-links")
 
     def run(self) -> DataFrame:
         work = self.work
-        first = work.table(buckets(signature_keys(self.nodes)), "buckets")
-        self.confirm(stars(first))
-        rest = work.table(self.open(first), "open")
-        small, large = rest.where(F.col("size") <= SMALL_BUCKET), rest.where(F.col("size") > SMALL_BUCKET).select("node").distinct()
-        work.drop("buckets")
-        self.confirm(self.across(small))
-        if not large.isEmpty():
-            second = work.table(buckets(long_keys(self.texts(large), self.width).distinct()), "long-buckets")
-            self.confirm(stars(second))
-            rest = work.table(self.open(second), "long-open")
-            self.confirm(self.across(rest.where(F.col("size") <= SMALL_BUCKET)))
-            rest = rest.where(F.col("size") > SMALL_BUCKET)
-            if not rest.isEmpty():
-                self.confirm_blocks(rest.select("key", "node", "component", "size"))
-        found = self.labels()
-        group = self.nodes.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+        bucketed = work.table(buckets(signature_keys(self.nodes)), "buckets")
+        links = self.stars(bucketed)
+        work.drop("near", "star-sets", "star-sets-wanted")
+        found = components(links, work, "star-components")
+        links = links.unionByName(self.blocks(self.open(bucketed, found)))
+        work.drop("buckets", "labelled", "screened", "block-sets", "block-sets-wanted")
+        found = components(links, work, "components")
+        group = self.nodes.join(found, "node", "left").select("digest", "rep", F.coalesce("component", "node").alias("component"))
         group = work.table(group, "groups")
         least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
-        group = group.join(least, "component").select("node", "component_id")
-        out = self.marks.join(group, "node", "left")
+        group = group.join(least, "component").select("digest", "component_id")
+        out = self.marks.join(group, "digest", "left")
         own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
         return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

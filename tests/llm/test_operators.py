@@ -198,8 +198,7 @@ def sets(rows, width):
 
 
 @pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, width, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 4)  # so that few rows reach every step
+def test_near_duplicates_equal_brute_force(spark, width):
     rnd = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     rows = texts(4)
