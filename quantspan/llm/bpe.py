@@ -51,7 +51,7 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     size = 1 << (n - 1).bit_length()
     blank = [none] * (2 * size)
     tree = blank if n < 4096 else array("q", blank)
-    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    after, before = (list(x) if n < 4096 else array("i", x) for x in (range(1, n + 1), range(-1, n - 1)))
     for i in range(n - 1):
         rank = rank_of(piece[i : i + 2])
         if rank is not None:

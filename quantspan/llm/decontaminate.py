@@ -7,7 +7,9 @@ of the threshold from its other words, and what the common ones add is looked up
 item is a leak if its word shingles are in the passage, as a whole and in both its question (the
 beginning) and its answer (the end).
 
-Test items go to the executors in blocks of a fixed number of bytes, one pass over the documents each.
+Test items go to the executors in blocks of a fixed number of bytes, one pass over the documents each. Word
+frequencies, the number of items and their mean length are those of all items, whatever their block. Within
+a block, items of up to 64 words, 128, 256 and so on have indexes and passage lengths of their own.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns_as
+from .shared import Workspace, columns_as
 from .tokens import Table, word
 
 #: Bytes of test items that are indexed and broadcast at a time.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+#: Words of the items of the first index, at most; a passage is twice as long.
+SHORT = 64
 #: Postings of a block of a list, and items of a block of the index.
 POSTINGS, ITEMS = 16, 4
 K1, B = 1.2, 0.75
@@ -50,16 +54,24 @@ class Postings:
 
 
 class Index:
-    """BM25 over the test items; the score of an item's own words is 1."""
+    """BM25 over test items; the score of an item's own words is 1.
 
-    def __init__(self, items: list[tuple[int, str]], width: int, threshold: float):
+    ``seen``, ``n`` and ``mean``: in how many of all items each word is, their number and mean length; those
+    of the given ones by default.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], width: int, threshold: float, seen: dict[str, int] | None = None, n: int | None = None, mean: float | None = None):
         self.ids = [i for i, _ in items]
         texts = [words_of(t or "") for _, t in items]
         self.words = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         coded = [[self.words[w] for w in t] for t in texts]
-        self.longest = max(map(len, coded), default=0)
-        n, mean = len(coded), sum(map(len, coded)) / max(1, sum(map(bool, coded)))
-        seen = Counter(w for t in coded for w in set(t))
+        self.reach = SHORT
+        while self.reach < max(map(len, coded), default=0):
+            self.reach *= 2
+        if seen is None:
+            n, mean = len(coded), sum(map(len, coded)) / max(1, sum(map(bool, coded)))
+            seen = Counter(w for t in texts for w in set(t))
+        seen = [seen[w] for w in self.words]
         lists = defaultdict(lambda: ([], []))
         for k, t in enumerate(coded):
             impact = {w: math.log(1 + (n - seen[w] + 0.5) / (seen[w] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(t) / mean)) for w, c in Counter(t).items()}
@@ -68,7 +80,7 @@ class Index:
                 lists[w][0].append(k)
                 lists[w][1].append(x / whole)
         self.postings = [Postings(*lists[w]) for w in range(len(self.words))]
-        common, added = set(), [0.0] * n
+        common, added = set(), [0.0] * len(coded)
         for w in sorted(range(len(self.words)), key=lambda w: -seen[w]):
             if any(added[k] + x > threshold * COMMON for k, x in zip(*lists[w], strict=True)):
                 break
@@ -84,15 +96,16 @@ class Index:
             for k, x in zip(p.items, p.impacts, strict=True):
                 peaks[k // ITEMS] = max(x, peaks.get(k // ITEMS, 0.0))
             self.peaks.append(list(peaks.items()))
-        self.parts = [self._parts(t, width) for t in coded]
+        self.parts = [self._parts(np.array(t, np.int64), width) for t in coded]
 
     @staticmethod
-    def _parts(t: list[int], width: int) -> tuple[set, set, set]:
-        """Shingles of the whole item, its question and its answer: the last quarter, two shingles'
-        length or more. An item too short to part is its own question and answer."""
-        answer = max(len(t) // 4, 2 * width)
-        whole = shingles(t, width)
-        return (whole, shingles(t[:-answer], width), shingles(t[-answer:], width)) if len(t) >= answer + width else (whole, whole, whole)
+    def _parts(t: np.ndarray, width: int) -> tuple[int, tuple[np.ndarray, ...]]:
+        """Words of a shingle, and the shingles of the whole item, its question and its answer: the last
+        quarter, two shingles' length or more. An item too short to part is its own question and
+        answer, and one shorter than a shingle is one shingle of its own length."""
+        width = max(1, min(width, len(t)))
+        answer, whole = max(len(t) // 4, 2 * width), shingles(t, width)
+        return width, (whole, shingles(t[:-answer], width), shingles(t[-answer:], width)) if len(t) >= answer + width else (whole, whole, whole)
 
     def may_hold(self, terms: set[int]) -> bool:
         """Whether the largest impacts in some block of items add up to what an item needs."""
@@ -150,18 +163,24 @@ class Index:
                 found.append((item, score))
 
 
-def shingles(t: list[int], width: int) -> set:
-    return {tuple(t[k : k + width]) for k in range(max(1, len(t) - width + 1))} if t else set()
+def shingles(t: np.ndarray, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of ``width`` words in a row; none of fewer words."""
+    if len(t) < width:
+        return np.zeros(0, np.uint64)
+    words, h = t.astype(np.uint64), np.zeros(len(t) - width + 1, np.uint64)
+    for k in range(width):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + words[k : k + len(h)] + np.uint64(1)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.unique(h ^ (h >> np.uint64(32)))
 
 
-def leaks_of(text: str, index: Index, table: Table, overlap: float, part: float, width: int) -> list[tuple]:
+def leaks_of(tokens: list[str], index: Index, table: Table, overlap: float, part: float) -> list[tuple]:
     """(item, score, overlap, question overlap, answer overlap, first word) of the best passage of each leak."""
-    tokens = text.split()
     if not tokens:
         return []
     code = np.fromiter(map(table.__getitem__, tokens), np.int64, len(tokens))
     code = code[code != -2]  # tokens without a word
-    length, step = max(128, 2 * index.longest), max(64, index.longest)
+    length, step = 2 * index.reach, index.reach
     starts = np.arange(0, max(1, len(code) - length + step), step)
     telling = np.flatnonzero(index.most[code] > 0)
     words = code[telling].tolist()
@@ -172,50 +191,72 @@ def leaks_of(text: str, index: Index, table: Table, overlap: float, part: float,
             continue
         passage = code[start : start + length]
         terms = np.unique(passage[passage >= 0])
-        here = None
+        here: dict[int, np.ndarray] = {}
         for item, score in index.search(terms.tolist()):
-            here = here or shingles(passage.tolist(), width)
-            whole, question, answer = ((len(p & here) / len(p)) for p in index.parts[item])
+            width, parts = index.parts[item]
+            if width not in here:
+                here[width] = shingles(passage, width)
+            whole, question, answer = (float(np.isin(p, here[width], assume_unique=True).mean()) for p in parts)
             if whole >= overlap and question >= part and answer >= part and (item not in best or (score, whole) > best[item][1:3]):
                 best[item] = (index.ids[item], score, whole, question, answer, start)
     return list(best.values())
 
 
-def _finder(index, overlap: float, part: float, width: int):
-    own = index.value
-    table = Table(lambda token: own.words.get(w, -1) if (w := word(token)) else -2)
-    return lambda text: leaks_of(text, own, table, overlap, part, width)
+def _finder(indexes, overlap: float, part: float):
+    own = [(index, Table(lambda token, words=index.words: words.get(w, -1) if (w := word(token)) else -2)) for index in indexes.value]
+
+    def find(text: str) -> list[tuple]:
+        tokens = text.split()
+        return [x for index, table in own for x in leaks_of(tokens, index, table, overlap, part)]
+
+    return find
+
+
+def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        words = [words_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(map(len, words), pa.int64()), pa.array([sorted(set(x)) for x in words], pa.list_(pa.string()))], names=["item_id", "text", "n_words", "words"])
 
 
 def item_blocks(items: DataFrame, width: int, threshold: float) -> Iterator:
     """Broadcast indexes of the test items, each of at most about BLOCK_BYTES of text."""
-    spark = items.sparkSession
-    size = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = -(-size // BLOCK_BYTES)
+    spark, work = items.sparkSession, Workspace(items.sparkSession, "benchmark")
+    items = work.table(items.mapInArrow(_own_words, f"item_id {items.schema['item_id'].dataType.simpleString()}, text string, n_words long, words array<string>"), "items")
+    every = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.avg(F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean")).first()
+    blocks = -(-(every["bytes"] or 0) // BLOCK_BYTES)
+    seen = work.table(items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen")), "seen") if blocks else None
     for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id").collect()  # BLOCK_BYTES
-        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in rows], width, threshold))
+        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
+        rows = block.select("item_id", "text", "n_words").orderBy("item_id", "text").collect()  # BLOCK_BYTES
+        known = seen.join(block.select(F.explode("words").alias("word")).distinct(), "word", "left_semi").collect()  # its words
+        known = {r["word"]: r["seen"] for r in known}
+        classes: dict[int, list] = defaultdict(list)
+        for r in rows:
+            classes[max(0, (r["n_words"] - 1) // SHORT).bit_length()].append((r["item_id"], r["text"]))
+        yield spark.sparkContext.broadcast([Index(part, width, threshold, known, every["n"], every["mean"] or 1.0) for _, part in sorted(classes.items())])
+    work.close()
 
 
 FOUND = "item_id long, score double, overlap double, question_overlap double, answer_overlap double, first_word long"
 
 
 def _own_items(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return columns_as(items, item_id=id_col, text=text_col).where("text is not null and item_id is not null").dropDuplicates(["item_id", "text"])
+    own = columns_as(items, item_id=id_col, text=text_col).select("item_id", F.col("text").cast("string").alias("text"))
+    return own.where("text is not null and item_id is not null").dropDuplicates(["item_id", "text"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", threshold: float = 0.6, overlap: float = 0.8, part: float = 0.5, shingle_words: int = 5) -> DataFrame:
     """One row for each document and test item that is in it, with the scores of the best passage.
 
-    Null and empty texts hold nothing and null items are not searched; rows that repeat are each
-    searched; empty tables give no rows; only the named columns are read.
+    Null and empty texts hold nothing and null items are not searched, nor are items without a word; an item
+    shorter than a shingle is found where its words stand in a row. Rows that repeat are each searched; empty tables give no rows; only the named columns are read.
     """
     own = columns_as(docs, doc_id=id_col, text=text_col).select("doc_id", F.col("text").cast("string").alias("text"))
     out = None
     for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words, threshold):
 
         def run(batches, index=index):
-            find = _finder(index, overlap, part, shingle_words)
+            find = _finder(index, overlap, part)
             for batch in batches:
                 rows = [(k, *x) for k, text in enumerate(batch.column(1)) for x in find(text.as_py() or "")]
                 if rows:
@@ -235,7 +276,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     for index in item_blocks(_own_items(items, item_id_col, item_text_col), shingle_words, threshold):
 
         def run(batches, index=index):
-            find = _finder(index, overlap, part, shingle_words)
+            find = _finder(index, overlap, part)
             for batch in batches:
                 yield batch.filter(pa.array([not find(row[text_col].as_py() or "") for row in batch.column(0)], pa.bool_()))
 

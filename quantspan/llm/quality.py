@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import columns_as
+from .shared import Workspace, columns_as
 from .tokens import FEATURES, Table, ngram_features, scored, token_code, training_rows
 
 #: Labelled rows that the model is fitted on, at most; scoring covers every row.
@@ -107,22 +107,29 @@ def fit_rows(rows: list[np.ndarray], y: np.ndarray, cost: float = 1.0, epochs: i
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``train_rows`` labelled rows of ``docs``; their features come to the driver."""
+    """Fit on at most ``train_rows`` labelled rows of ``docs``, in one task; only the model comes to the driver."""
+    work = Workspace(docs.sparkSession, "quality")
 
-    def run(batches):
+    def sets(batches):
         table = Table(token_code)
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "features": pa.array([ngram_features(x or "", table).tobytes() for x in batch.column(1).to_pylist()], pa.binary())})
 
-    got = training_rows(docs, labels, label, train_rows).mapInArrow(run, "label int, features binary").toArrow()
-    y = got["label"].to_pylist()
-    rows = [np.frombuffer(x.as_buffer(), np.int32) for x in got["features"]]  # views of what Arrow holds, no copies
-    # an order that does not depend on the partitions
-    order = sorted(range(len(rows)), key=lambda i: (hashlib.blake2b(rows[i], digest_size=12).digest(), y[i]))
-    model = fit_rows([rows[i] for i in order], np.array([y[i] for i in order], np.int64))
-    del got, rows
-    pa.default_memory_pool().release_unused()
-    return model
+    def whole(batches):
+        """All rows of the sample, which is bounded, in an order that does not depend on the partitions."""
+        rows = [(y, np.frombuffer(x, np.int32)) for batch in batches for y, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        rows.sort(key=lambda r: (hashlib.blake2b(r[1], digest_size=12).digest(), r[0]))
+        model = fit_rows([x for _, x in rows], np.array([y for y, _ in rows], np.int64))
+        held = [model.weight.astype("<f4").tobytes(), model.square.astype("<f4").tobytes(), np.array([model.bias, model.slope, model.level]).tobytes()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(3), pa.int32()), "held": pa.array(held, pa.binary())})
+
+    featured = training_rows(docs, labels, label, train_rows, work).mapInArrow(sets, "label int, features binary")
+    parts = {r["part"]: r["held"] for r in featured.repartition(1).mapInArrow(whole, "part int, held binary").collect()}
+    work.close()
+    if not parts:
+        return fit_rows([], np.zeros(0, np.int64))
+    bias, slope, level = np.frombuffer(parts[2]).tolist()
+    return Model(np.frombuffer(parts[0], "<f4"), np.frombuffer(parts[1], "<f4"), bias, slope, level)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:

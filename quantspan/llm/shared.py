@@ -13,6 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _fallback: dict[str, str] = {}
+_open: list[Workspace] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -34,6 +35,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _open.append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return the written rows; its shuffles may then be freed."""
@@ -50,11 +52,36 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.release()
 
+    def close(self) -> None:
+        """Delete all tables; what was made of them must be written or collected."""
+        self.drop("")
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.close()
+
     def release(self) -> None:
         gc.collect()
         self.spark._jvm.System.gc()
 
 
+class Collected:
+    """Closes, when asked, the workspaces that operators have opened since the last time."""
+
+    def __enter__(self) -> Collected:
+        self.before = len(_open)
+        return self
+
+    def close(self) -> None:
+        for work in _open[self.before :]:
+            work.close()
+
+    def __exit__(self, *failure) -> None:
+        del _open[self.before :]
+
+
 def columns_as(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: extra columns cannot clash."""
     return df.select(*[df[source].alias(own) for own, source in columns.items()])

@@ -104,9 +104,10 @@ RANKED = "prefix long, whole long, u long, low int, high int"
 def _round(ranked: DataFrame, work: Workspace, name: str, final: bool) -> tuple[DataFrame, DataFrame | None]:
     """Repeated runs of positions (u, low, high), and those to rank again."""
     place = F.xxhash64("u", "low")
-    shared = ranked.groupBy("prefix").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("prefix")
-    candidates = work.table(ranked.join(shared, "prefix", "left_semi").distinct(), f"{name}-candidates")
-    if final:  # the prefix is the string itself
+    by = ["prefix", "whole"] if final else ["prefix"]  # the prefix is the string itself: 126 bits of it
+    shared = ranked.groupBy(*by).agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select(*by)
+    candidates = work.table(ranked.join(shared, by, "left_semi").distinct(), f"{name}-candidates")
+    if final:
         return candidates.select("u", "low", "high"), None
     wholes = candidates.groupBy("prefix", "whole").agg(F.min(place).alias("one"), F.max(place).alias("other"))
     kinds = wholes.groupBy("prefix").agg(F.count("*").alias("kinds"))

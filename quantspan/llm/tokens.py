@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Workspace
+
 REMEMBERED = 300_000
 #: Hashed words, hashed word pairs, and hashed n-grams of token shapes.
 WORDS = PAIRS = 1 << 19
@@ -79,15 +81,19 @@ def ngram_features(text: str, table: Table) -> np.ndarray:
     return np.unique(np.concatenate(found)).astype(np.int32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
-    """At most ``rows`` labelled documents that may be learnt from: ``label, text``.
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, rows: int, work: Workspace) -> DataFrame:
+    """At most ``rows`` labelled documents that may be learnt from: ``label, text``, written as a table.
 
     Those with crc32(doc_id as text) mod 4 = 2 are held out. The rest are taken in the order of a hash
-    of their id, so that the sample does not depend on how the tables are stored.
+    of their id, so that the sample does not depend on how the tables are stored. Labels without a
+    document take no place; of rows that share an id, one text is learnt from; an id with both labels
+    has a place for each.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1) and crc32(cast(doc_id as string)) % 4 <> 2")
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text")
+    marks = docs.select("doc_id", F.xxhash64("text").alias("mark")).where("doc_id is not null").groupBy("doc_id").agg(F.min("mark").alias("mark"))
+    sample = marks.join(usable.distinct(), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    found = docs.select("doc_id", "text", F.xxhash64("text").alias("mark")).join(F.broadcast(sample), ["doc_id", "mark"])  # ``rows`` ids at most
+    return work.table(found.groupBy("doc_id", "label").agg(F.first("text").alias("text")).select("label", "text"), "sample")
 
 
 def scored(docs: DataFrame, score: Callable[[], Callable[[str], tuple]], fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:

@@ -18,13 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_as
+from .shared import Workspace, columns_as
 from .tokens import Table, scored, training_rows, word
 
 #: Labelled rows that the model is fitted on, at most; scoring covers every row.
 TRAIN_ROWS = 12_000
-#: Features that the model may use: of those in at least LEAST sample texts, the ones that tell most.
-MODEL_FEATURES, LEAST = 20_000, 3
+#: Sample texts that a feature of the model is in, at least.
+LEAST = 3
 #: A feature must be told apart from chance at about one in two thousand.
 CHI_SQUARE = 12.0
 GRADES = 4
@@ -92,15 +92,16 @@ def _counts(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``train_rows`` labelled rows of ``docs``; at most MODEL_FEATURES features and, of
-    each row, which of these it has, come to the driver."""
-    sample = training_rows(docs, labels, label, train_rows)
+    """Fit on at most ``train_rows`` labelled rows of ``docs``, in one task. What comes to the driver is bounded
+    by the sample: the features that tell the classes apart, and the model."""
+    work = Workspace(docs.sparkSession, "toxicity")
+    sample = training_rows(docs, labels, label, train_rows, work)
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
     counts = sample.mapInArrow(_counts, "key long, clean long, toxic long").groupBy("key").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= LEAST)
     having = F.col("toxic") + F.col("clean")
     apart = F.pow(F.col("toxic") * float(n0) - F.col("clean") * float(n1), 2) * (n0 + n1) / (having * F.greatest(n0 + n1 - having, F.lit(1)) * float(max(1, n0 * n1)))
-    best = counts.where(apart >= CHI_SQUARE).orderBy(apart.desc(), "key").limit(MODEL_FEATURES).toArrow()
+    best = counts.where(apart >= CHI_SQUARE).orderBy(apart.desc(), "key").toArrow()
     key, clean, toxic = (best[c].to_numpy() for c in ("key", "clean", "toxic"))
     odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((clean + 0.5) / (n0 + 1))
     place, strong = {int(k): i for i, k in enumerate(key)}, {int(k) for k, o in zip(key, odds, strict=True) if o > 2.5}
@@ -119,9 +120,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", train_rows: in
                 dense.append(sum(x[1] for x in found) / max(1, len(found)))
             yield pa.RecordBatch.from_pydict({"label": batch.column(0), "dense": pa.array(dense, pa.float64()), "found": pa.array(rows, pa.binary())})
 
-    got = sample.mapInArrow(run, "label int, dense double, found binary").orderBy("found", "label", "dense").toArrow()
-    rows = [np.frombuffer(x, np.int32) for x in got["found"].to_pylist()]
-    return fit_rows(rows, np.array(got["dense"].to_pylist()), np.array(got["label"].to_pylist(), np.int64), key)
+    def whole(batches):
+        """All rows of the sample, which is bounded, in an order that does not depend on the partitions."""
+        rows = sorted((found, y, d) for batch in batches for y, d, found in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit_rows([np.frombuffer(found, np.int32) for found, _, _ in rows], np.array([d for _, _, d in rows]), np.array([y for _, y, _ in rows], np.int64), key)
+        yield pa.RecordBatch.from_pydict({"key": pa.array([*model.weight, *(-1 - k for k in range(GRADES - 1))], pa.int64()), "value": pa.array([*model.weight.values(), *model.thresholds], pa.float64())})
+
+    got = sample.mapInArrow(run, "label int, dense double, found binary").repartition(1).mapInArrow(whole, "key long, value double").collect()
+    work.close()
+    if not got:
+        return fit_rows([], np.zeros(0), np.zeros(0, np.int64), key)
+    held = {r["key"]: r["value"] for r in got}
+    return Model({k: v for k, v in held.items() if k >= 0}, np.array([held[-1 - k] for k in range(GRADES - 1)]))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", threshold: float = 0.3, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -233,7 +233,7 @@ def test_components_of_chains_and_stars(spark):
     assert {r["node"]: r["component"] for r in got} == {**{k: 0 for k in range(1, 41)}, **{k: 100 for k in range(101, 160)}}
 
 
-def test_search_finds_all_above_the_threshold_and_leaks(spark):
+def test_search_finds_all_above_the_threshold_and_leaks(spark, monkeypatch):
     rnd = random.Random(6)
     words = [f"w{k}" for k in range(400)]
     item = lambda n: " ".join(rnd.choice(words[:40] if rnd.random() < 0.5 else words) for _ in range(n))
@@ -254,6 +254,14 @@ def test_search_finds_all_above_the_threshold_and_leaks(spark):
     assert found == {(4, long[0][0]), (5, long[1][0])}
     assert sorted(r["doc_id"] for r in decontaminate.decontaminate(frame(spark, rows), benchmark).collect()) == [1, 2, 3, 6]
     assert decontaminate.find_leaks(frame(spark, rows), benchmark.limit(0)).count() == 0
+    short = spark.createDataFrame([(1, "zz top hit"), (2, "unseen words"), (3, " ".join(f"v{k}" for k in range(300)))], "item_id long, text string")
+    rows = [(1, f"{item(200)} Zz top, hit! {item(90)}"), (2, "top zz hit"), (3, f"{item(70)} " + " ".join(f"v{k}" for k in range(300)) + f" {item(700)}"), (4, "hit " * 50_000)]
+    want = {(1, 1), (3, 3)}
+    found = decontaminate.find_leaks(frame(spark, rows), short).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == want
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 700)  # scores do not depend on the blocks
+    parted = decontaminate.find_leaks(frame(spark, rows), short).collect()
+    assert sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in parted) == sorted((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in found)
     assert decontaminate.decontaminate(frame(spark, []), benchmark).count() == 0
 
 
