@@ -14,7 +14,7 @@ from quantspan.llm.decontaminate import decontaminate
 from quantspan.llm.linededup import line_dedup
 from quantspan.llm.neardup import near_duplicates
 from quantspan.llm.quality import keep_quality
-from quantspan.llm.shared import Workspace
+from quantspan.llm.shared import Collected, Workspace
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents below this probability of good quality go; lower than the query's 0.7, as a lost clean document
@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Winnowing: runs of three lines or of 50 words or more that stand earlier go, and documents of which nothing is left."""
     out = line_dedup(docs.select(COLUMNS), window=3, least_words=LEAST_WORDS)
-    out = out.where(~((F.col("n_removed") > 0) & (F.trim("kept_text") == "")))
+    out = out.where(~((F.col("n_removed") > 0) & ~F.col("kept_text").rlike(r"\S")))
     changed = F.col("n_removed") > 0
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))).select(COLUMNS)
 
@@ -64,8 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = Workspace(spark, "pipeline")
+    work, before = Workspace(spark, "pipeline"), None
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = work.table(stage(spark, docs, sf_dir), name)
+        with Collected() as tables:
+            docs = work.table(stage(spark, docs, sf_dir), name)
+            tables.close()  # the stage's rows are written
+        if before:
+            work.drop(before)
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
