@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantspan.plans import bars, research, search
+from quantspan.plans import bars, engine, research, search, strategies
 
-PLANS = [bars, research, search]
+PLANS = [bars, research, search, strategies, engine]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

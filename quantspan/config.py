@@ -44,7 +44,13 @@ class Costs:
         return replace(self, **changes)
 
 
-#: What each robustness scenario multiplies or switches on.
-SCENARIOS = {"fee_shock": {"fee": 2.0}, "slippage_shock": {"slip": 3.0}, "entry_drift": {"drift": True}, "indicator_variance": {"lookback": 1}, "news_candles": {"news": True}}
+#: Of each robustness flag, its label and the names it goes by.
+SCENARIO_FLAGS = {
+    "fee": ("FEE", ("fee_shock", "fee", "fees")),
+    "slippage": ("SLI", ("slippage_shock", "slippage", "slip")),
+    "news": ("NWS", ("news_candles_injection", "news")),
+    "drift": ("ENT", ("entry_drift", "drift")),
+    "variance": ("IND", ("indicator_variance", "variance", "lb_variance")),
+}
 #: Weights of the five segments of the consistency score, oldest first.
 SEGMENT_WEIGHTS = (0.0117, 0.0317, 0.0861, 0.2341, 0.6364)

@@ -74,16 +74,23 @@ def sigma_neutral(weight: Column, vol: Column) -> Column:
     return F.signum(weight) / vol * gross / total
 
 
-def capped(weights: DataFrame, cap: float, rounds: int = 8) -> DataFrame:
-    """No weight above ``cap``; what is cut goes to those below in proportion, for as many rounds as assets."""
-    out = weights.withColumn("size", F.abs("weight"))
-    for _ in range(rounds):
-        over, under = F.col("size") > cap + 1e-12, F.col("size") < cap - 1e-12
-        excess = F.sum(F.when(over, F.col("size") - cap).otherwise(0.0)).over(at())
-        room, count = F.sum(F.when(under, F.col("size"))).over(at()), F.sum(under.cast("int")).over(at())
-        share = F.when(room > 0, F.col("size") / room).otherwise(F.lit(1.0) / F.nullif(count, F.lit(0)))
-        out = out.withColumn("size", F.when(over, cap).when(under, F.col("size") + excess * share).otherwise(F.col("size")))
-    return out.withColumn("capped", F.signum("weight") * F.least("size", F.lit(cap))).drop("size")
+def capped(weights: DataFrame, cap: float) -> DataFrame:
+    """``capped``: no weight above ``cap``; what is cut goes to those below in proportion, again and again until none is above.
+
+    The end of those rounds in one step: the largest weights are at the cap and the rest grow by one factor, which
+    running sums over the sizes in order tell. Without room the rest of the sum is lost.
+    """
+    size = F.abs("weight")
+    down = Window.partitionBy("time").orderBy(F.desc("size"), "asset")
+    rows = weights.withColumn("size", size).withColumn("place", F.row_number().over(down) - 1)
+    total = F.sum("size").over(at())
+    rest = F.sum("size").over(down.rowsBetween(0, Window.unboundedFollowing))
+    rows = rows.withColumn("total", total).withColumn("factor", F.try_divide(F.col("total") - F.col("place") * cap, rest))
+    rows = rows.withColumn("over", F.coalesce(F.col("size") * F.col("factor") > cap + 1e-12, F.lit(False)))
+    first = F.min(F.when(~F.col("over"), F.struct("place", "factor"))).over(at())
+    grown = F.when(F.col("place") < first["place"], F.lit(cap)).otherwise(F.least(F.col("size") * F.coalesce(first["factor"], F.lit(0.0)), F.lit(cap)))
+    out = F.when(first.isNull(), F.lit(cap)).otherwise(grown)
+    return rows.withColumn("capped", F.signum("weight") * out).select(*weights.columns, "capped")
 
 
 def gross_capped(weight: Column, most: float) -> Column:

@@ -22,36 +22,18 @@ def crosses(bars: DataFrame, lookbacks: list[int], keys: tuple[str, ...] = ("ass
     return flips(rows.withColumn("raw", F.coalesce(raw, F.lit(0.0)).cast("int")), *own)
 
 
-def sweep(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset", "lb")) -> DataFrame:
-    return metrics(simulate(signals, costs, keys), costs, keys)
+def sweep(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset", "lb"), target: Column | None = None) -> DataFrame:
+    """Metrics of every run; a run without a trade has a row of zeros."""
+    return with_idle(metrics(simulate(signals, costs, keys, target=target), costs, keys), signals.select(*keys).distinct(), keys)
 
 
-def optimise(results: DataFrame, metric: str = "sharpe", least_trades: int = 10, keys: tuple[str, ...] = ("asset",), most_drawdown: float | None = None) -> DataFrame:
-    """The look-back that a coarse search over every second one, refined among its neighbours, ends at.
+def with_idle(results: DataFrame, runs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """``results`` and, for those of ``runs`` that made no trade, zeros; nothing lost is an endless profit factor."""
+    rows = runs.join(results, list(keys), "left")
+    return rows.fillna(0, subset=["trades", "roi", "win_rate", "exp", "sharpe", "max_drawdown", "consistency"]).fillna(float("inf"), subset=["pf"])
 
-    All look-backs are there already, so coarse and fine are filters. Ties go to the smaller one first met.
-    """
-    value = -F.col(metric) if metric == "max_drawdown" else F.col(metric)
-    order = Window.partitionBy(*keys).orderBy("lb")
-    placed = results.withColumn("place", F.row_number().over(order) - 1).withColumn("value", value)
-    usable = (F.col("trades") >= least_trades) & (F.lit(True) if most_drawdown is None else F.col("max_drawdown") <= most_drawdown)
-    placed = placed.withColumn("value", F.when(usable, F.col("value")))
-    best = placed.where("place % 2 = 0 and value is not null").groupBy(*keys).agg(F.max_by("place", F.struct("value", -F.col("place"))).alias("coarse"))
-    near = placed.join(best, list(keys)).where("value is not null and abs(place - coarse) <= 1")
-    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("value"), F.abs(F.col("place") - F.col("coarse")), "lb"))
-    return near.withColumn("rank", first)
-
-
-def smart_choice(ranked: DataFrame, results: DataFrame, keys: tuple[str, ...] = ("asset",), jump: float = 1.10) -> DataFrame:
-    """Of the candidates in order, the first whose profit factor is no spike over either next look-back; else the best."""
-    side = lambda k: results.select(*keys, (F.col("lb") - k).alias("lb"), F.col("pf").alias("pf_up" if k > 0 else "pf_down"))
-    both = ranked.join(side(1), [*keys, "lb"], "left").join(side(-1), [*keys, "lb"], "left")
-    spike = F.coalesce(F.col("pf") > F.col("pf_up") * jump, F.lit(False)) | F.coalesce(F.col("pf") > F.col("pf_down") * jump, F.lit(False))
-    order = F.row_number().over(Window.partitionBy(*keys).orderBy(spike.cast("int"), "rank"))
-    return both.withColumn("choice", order).where("choice = 1")
-
-
-def excursions(trades: DataFrame, bars: DataFrame, stop_pct: float, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
+
+def excursions(trades: DataFrame, bars: DataFrame, stop_pct: float, keys: tuple[str, ...] = ("asset",), most: float = 3.0) -> DataFrame:
     """``peak_r`` and ``close_r``: the best and the last move of each trade in risks, from the close at entry.
 
     A trade is spread over the bars it was held, so the join is on keys and bar, not on a range.
@@ -62,7 +44,7 @@ def excursions(trades: DataFrame, bars: DataFrame, stop_pct: float, keys: tuple[
     spread = rows.groupBy(*keys, "trade_group_id", "side").agg(F.max("high").alias("high"), F.min("low").alias("low"), F.max(F.when(F.col("bar_idx") == F.col("entry_idx"), F.col("close"))).alias("entry"), F.max(F.when(F.col("bar_idx") == F.col("exit_idx"), F.col("close"))).alias("exit"))
     risk = F.col("entry") * stop_pct / 100
     peak = F.when(F.col("side") == 1, F.col("high") - F.col("entry")).otherwise(F.col("entry") - F.col("low")) / risk
-    return spread.select(*keys, "trade_group_id", F.least(peak, F.lit(3.0)).alias("peak_r"), (F.col("side") * (F.col("exit") - F.col("entry")) / risk).alias("close_r"))
+    return spread.select(*keys, "trade_group_id", F.least(peak, F.lit(most)).alias("peak_r"), (F.col("side") * (F.col("exit") - F.col("entry")) / risk).alias("close_r"))
 
 
 def best_reward(moves: DataFrame, most: int = 3, keys: tuple[str, ...] = ("asset",)) -> DataFrame:
@@ -80,18 +62,6 @@ def surface(signals: DataFrame, multipliers: list[float], costs: Costs = Costs()
     return metrics(simulate(every, costs, keys, stop=F.col("sl_mult") * costs.stop_pct), costs, keys)
 
 
-def scenarios(signals: DataFrame, costs: Costs = Costs(), keys: tuple[str, ...] = ("asset",)) -> DataFrame:
-    """Metrics under doubled fees, tripled slippage and late entries, beside those as they are."""
-    from quantspan.operators.signals import drifted
-
-    rows = [("base", 1.0, 1.0, False), ("fee_shock", 2.0, 1.0, False), ("slippage_shock", 1.0, 3.0, False), ("entry_drift", 1.0, 1.0, True)]
-    table = signals.sparkSession.createDataFrame(rows, "scenario string, fee_mult double, slip_mult double, late boolean")
-    both = signals.withColumn("late", F.lit(False)).unionByName(drifted(signals, *keys).withColumn("late", F.lit(True)))
-    every = both.join(F.broadcast(table), "late")
-    own = (*keys, "scenario")
-    return metrics(simulate(every, costs, own, fee=F.col("fee_mult") * costs.fee, slip=F.col("slip_mult") * costs.slip), costs, own)
-
-
 def windows(bars: DataFrame, in_bars: int, out_bars: int) -> DataFrame:
     """Each bar in every window it is part of: ``window_no, sample, idx``; the out-of-sample parts follow one another.
 
@@ -107,16 +77,6 @@ def windows(bars: DataFrame, in_bars: int, out_bars: int) -> DataFrame:
     return bars.withColumn("n", n).withColumn("part", F.explode(parts)).select("asset", "part.window_no", "part.sample", F.col("part.idx").alias("bar_idx"), "time", "open", "high", "low", "close")
 
 
-def walk_forward(bars: DataFrame, lookbacks: list[int], in_bars: int, out_bars: int, costs: Costs = Costs(), least_trades: int = 1) -> DataFrame:
-    """Out-of-sample trades of the look-back that did best in each window's sample, means seeded anew in each part."""
-    parts = windows(bars, in_bars, out_bars)
-    keys = ("asset", "window_no", "sample")
-    trades = simulate(crosses(parts, lookbacks, keys), costs, (*keys, "lb"))
-    inside = metrics(trades.where("sample = 'IS'"), costs, ("asset", "window_no", "lb")).where(F.col("trades") >= least_trades)
-    best = inside.groupBy("asset", "window_no").agg(F.max_by("lb", F.struct("sharpe", -F.col("lb"))).alias("lb"))
-    return trades.where("sample = 'OOS'").join(best, ["asset", "window_no", "lb"])
-
-
 def stitched(trades: DataFrame, costs: Costs = Costs(), seed: float = 1.0) -> DataFrame:
     order = Window.partitionBy("asset").orderBy("window_no", "trade_group_id").rowsBetween(Window.unboundedPreceding, 0)
     return trades.withColumn("equity", F.sum(F.col("pnl") / costs.account).over(order) + seed)

@@ -77,7 +77,6 @@ def common(spark, sf_dir):
 DELTAS = f"WITH {q.BARS}, d AS (SELECT asset, time, epoch(time)::BIGINT - lag(epoch(time)::BIGINT) OVER (PARTITION BY asset ORDER BY time) AS delta FROM bars), c AS (SELECT asset, delta, count(*) AS n, min(time) AS first_time FROM d WHERE delta IS NOT NULL GROUP BY 1, 2), m AS (SELECT asset, delta, n FROM c QUALIFY row_number() OVER (PARTITION BY asset ORDER BY n DESC, first_time) = 1)"
 query("s4_modal_interval", f"{DELTAS} SELECT asset, delta, n::BIGINT AS n FROM m")(lambda s, d: src.modal_interval(src.bars_from_events(s, d)))
 query("s5_first_gap", f"{DELTAS} SELECT d.asset, min(d.time) AS gap_time, count(*)::BIGINT AS gaps FROM d JOIN m ON d.asset = m.asset WHERE d.delta <> m.delta GROUP BY 1")(lambda s, d: src.first_gap(src.bars_from_events(s, d)))
-query("s3_panel_faults", f"WITH {q.BARS} SELECT asset, count(*)::BIGINT AS bars, 0::BIGINT AS duplicates, 0::BIGINT AS missing FROM bars GROUP BY 1")(lambda s, d: src.panel_faults(src.bars_from_events(s, d)))
 query("p1_age_dataset", f"WITH {q.BARS} SELECT asset, bar_idx, close FROM (SELECT *, count(*) OVER (PARTITION BY asset) AS n FROM bars) WHERE bar_idx < n - 100")(lambda s, d: src.bars_from_events(s, d).withColumn("n", F.count("*").over(Window.partitionBy("asset"))).where("bar_idx < n - 100").select("asset", "bar_idx", "close"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.windows import lag
@@ -122,9 +123,47 @@ def cadence(s, d):
 
 
 add("w41_refit_cadence", f"WITH {LEGS}, {CAD} SELECT a, b, i AS bar_idx, round(s, 5) AS beta, coalesce(abs(s - before) / nullif(abs(before), 0) > 0.5, false) AS broken FROM c", cadence)
-add("w36_kalman", None, lambda s, d: pairs.kalman(legs(s, d)))
-add("w37_principal_residual", None, lambda s, d: pairs.principal_residual(legs(s, d)))
+# The filter as a recursion over rows: the state is two numbers and a symmetric 2 x 2 matrix.
+KALMAN = f"""WITH RECURSIVE {LEGS}, k AS (
+  SELECT a, b, i, la, lb, 0.0::DOUBLE AS s0, 0.0::DOUBLE AS s1, 1.0::DOUBLE AS p00, 0.0::DOUBLE AS p01, 1.0::DOUBLE AS p11, false AS seen FROM legs WHERE i = 0
+  UNION ALL
+  SELECT n.a, n.b, n.i, n.la, n.lb, s0 + g0 * v, s1 + g1 * v, q0 - g0 * h0, p01 - g0 * h1, q1 - g1 * h1, true
+  FROM (SELECT *, h0 / d AS g0, h1 / d AS g1 FROM (SELECT *, q0 + lb * p01 AS h0, p01 + lb * q1 AS h1, (q0 + lb * p01) + lb * (p01 + lb * q1) + 1e-3 AS d, la - s0 - lb * s1 AS v FROM (SELECT *, p00 + 1e-4 AS q0, p11 + 1e-4 AS q1 FROM k))) u
+  JOIN (SELECT a AS a2, b AS b2, i - 1 AS j, a, b, i, la, lb FROM legs) n ON n.a2 = u.a AND n.b2 = u.b AND n.j = u.i)"""
+KALMAN += ", f AS (SELECT a, b, i - 1 AS i, s0, s1 FROM k WHERE i > 0) SELECT f.a, f.b, f.i AS bar_idx, round(s1, 6) AS beta, round(la - s0 - lb * s1, 6) AS residual FROM f JOIN legs l ON l.a = f.a AND l.b = f.b AND l.i = f.i"
+# A row's state is known one row on, so the last row of a pair is left out.
+add("w36_kalman", KALMAN, lambda s, d: (lambda k: k.withColumn("last", F.max("bar_idx").over(Window.partitionBy("a", "b"))).where("bar_idx < last").select("a", "b", F.col("bar_idx").cast("long").alias("bar_idx"), rounded("beta").alias("beta"), rounded("residual").alias("residual")))(pairs.kalman(legs(s, d))))
+common = lambda s, d: src.common_times(src.bars_from_events(s, d))
+add("w37_principal_residuals", None, lambda s, d: pairs.principal_residuals(common(s, d)))
+# Of two assets the first component is an angle.
+TWO = f"{q.BARS}, com AS (SELECT time FROM bars WHERE asset IN ('click', 'view') GROUP BY 1 HAVING count(*) = 2), pn AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time) - 1 AS i FROM bars WHERE asset IN ('click', 'view') AND time IN (SELECT time FROM com)), rt AS (SELECT *, ln(close) - lag(ln(close)) OVER (PARTITION BY asset ORDER BY i) AS r FROM pn), tw AS (SELECT i, max(r) FILTER (asset = 'click') AS x, max(r) FILTER (asset = 'view') AS y FROM rt WHERE i > 0 GROUP BY 1), cv AS (SELECT *, count(*) OVER m AS c, atan2(2 * covar_samp(x, y) OVER m, var_samp(x) OVER m - var_samp(y) OVER m) / 2 AS t FROM tw WINDOW m AS (ORDER BY i ROWS BETWEEN 59 PRECEDING AND CURRENT ROW))"
+add("w37_two_assets", f"WITH {TWO} SELECT i AS bar_idx, 'click' AS asset, round(x - cos(t) * (cos(t) * x + sin(t) * y), 7) AS residual FROM cv WHERE c = 60 UNION ALL SELECT i, 'view', round(y - sin(t) * (cos(t) * x + sin(t) * y), 7) FROM cv WHERE c = 60",
+    lambda s, d: pairs.principal_residuals(src.common_times(src.bars_from_events(s, d).where("asset in ('click', 'view')"))).select("bar_idx", "asset", rounded("residual", 7).alias("residual")))
 add("t16_engle_granger", None, lambda s, d: pairs.engle_granger(legs(s, d)))
+add("t16_beta", f"WITH {LEGS} SELECT a, b, round(regr_slope(la, lb), 8) AS beta FROM legs GROUP BY 1, 2", lambda s, d: pairs.engle_granger(legs(s, d)).select("a", "b", rounded("beta", 8).alias("beta")))
+add("t17_screen_cointegrated", None, lambda s, d: pairs.screened(legs(s, d), "engle_granger", 500, 5))
+add("t17_screen_distance", f"WITH {LEGS}, la AS (SELECT *, max(i) OVER (PARTITION BY a, b) AS m FROM legs), m AS (SELECT a, b, 2 * count(*) * (1 - corr(la, lb)) AS ssd FROM la WHERE i > m - 500 AND m >= 499 GROUP BY 1, 2) SELECT a, b, round(ssd, 5) AS statistic FROM m ORDER BY ssd, a, b LIMIT 3", lambda s, d: pairs.screened(legs(s, d), "distance", 500, 3).select("a", "b", rounded("statistic", 5).alias("statistic")))
+add("w40_eligibility_p", None, lambda s, d: pairs.eligibility(pairs.half_lives(legs(s, d)).join(pairs.engle_granger(legs(s, d)).select("a", "b", "p"), ["a", "b"]), most_p=0.05))
+add("w41_breakdown_cadence", None, lambda s, d: pairs.refits(legs(s, d), 100))
+add("w41_trigger_cadence", None, lambda s, d: pairs.refits(legs(s, d), 100, trigger=lambda values, since: since >= 120))
+add("w41_bars_cadence", f"WITH {LEGS} SELECT a, b, i AS bar_idx, round(s, 5) AS beta FROM (SELECT *, regr_slope(la, lb) OVER {pr(60)} AS s FROM legs) WHERE i >= 100 AND (i - 100) % 90 = 0", lambda s, d: pairs.refits(legs(s, d), 100, every=90).select("a", "b", "bar_idx", rounded("beta", 5).alias("beta")))
+HELD = f"WITH {LEGS}, {STEP}"
+add("w43_half_life_stop", f"{HELD} SELECT l.a, l.b, i AS bar_idx, coalesce(half_life > 0 AND half_life < 'inf'::DOUBLE AND i - 100 >= 5 * half_life, false) AS fired FROM legs l JOIN hl ON l.a = hl.a AND l.b = hl.b WHERE i >= 100",
+    lambda s, d: legs(s, d).where("bar_idx >= 100").join(pairs.half_lives(legs(s, d)).select("a", "b", "half_life"), ["a", "b"]).select("a", "b", F.col("bar_idx").cast("long").alias("bar_idx"), pairs.half_life_stop(F.col("bar_idx") - 100, F.col("half_life")).alias("fired")))
+
+
+class LineThroughOrigin:
+    """A predictor for the regression hook."""
+
+    def fit(self, x, y):
+        self.slope = float((x[:, 0] * y).sum() / (x[:, 0] ** 2).sum())
+
+    def predict(self, x):
+        return x[:, 0] * self.slope
+
+
+add("w38_predictor", f"WITH {LEGS}, f AS (SELECT *, count(*) OVER {pr(60, True)} AS n, sum(la * lb) OVER {pr(60, True)} / sum(lb * lb) OVER {pr(60, True)} AS s FROM legs) SELECT a, b, i AS bar_idx, round(la - s * lb, 6) AS residual FROM f WHERE n = 60",
+    lambda s, d: pairs.forecast_residual(legs(s, d), LineThroughOrigin).where("bar_idx >= 60").select("a", "b", F.col("bar_idx").cast("long").alias("bar_idx"), rounded("residual").alias("residual")))
 
 # --- cross-sections ------------------------------------------------------------------------------
 RET = f"{q.BARS}, com AS (SELECT time FROM bars GROUP BY 1 HAVING count(*) = 5), pan AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time) - 1 AS k FROM bars WHERE time IN (SELECT time FROM com)), rets AS (SELECT *, close / lag(close) OVER (PARTITION BY asset ORDER BY k) - 1 AS ret, close / lag(close, 20) OVER (PARTITION BY asset ORDER BY k) - 1 AS alpha FROM pan)"
@@ -145,7 +184,13 @@ add("f5_beta_neutral", f"WITH {RET}, {STATS}, {RAW}, {NET} SELECT time, asset, r
     lambda s, d: (lambda p: portfolio.beta_neutral(portfolio.basket(p, 2, 2).select("time", "asset", F.col("raw").alias("weight")).join(portfolio.betas(p, "view"), "asset")).select("time", "asset", rounded("neutral").alias("neutral")))(panel(s, d)))
 add("f6_sigma_neutral", f"WITH {RET}, {STATS}, {RAW}, {NET} SELECT time, asset, round(sign(raw) / vol * sum(abs(raw)) OVER (PARTITION BY time) / sum(1 / vol) OVER (PARTITION BY time), 6) AS neutral FROM n WHERE raw <> 0",
     lambda s, d: (lambda p: portfolio.basket(p, 2, 2).where("raw <> 0").join(portfolio.betas(p, "view"), "asset").select("time", "asset", rounded(portfolio.sigma_neutral(F.col("raw"), F.col("vol"))).alias("neutral")))(panel(s, d)))
-add("f7_constraints", None, lambda s, d: (lambda p: portfolio.capped(p.select("time", "asset", "alpha").where("alpha is not null").withColumn("weight", F.col("alpha") / F.sum(F.abs("alpha")).over(portfolio.at())), 0.3).withColumn("weight", portfolio.gross_capped(F.col("capped"), 0.9)))(panel(s, d)))
+CAPS = f"""WITH {RET}, wt AS (SELECT time, asset, alpha / sum(abs(alpha)) OVER (PARTITION BY time) AS weight FROM rets WHERE alpha IS NOT NULL), r0 AS (SELECT *, abs(weight) AS z, 0.0 AS frozen FROM wt)"""
+# The rounds themselves, one after another: five assets need five at most.
+for _k in range(5):
+    CAPS += f""", r{_k + 1} AS (SELECT time, asset, weight, CASE WHEN z > 0.3 + 1e-12 THEN 0.3 WHEN z < 0.3 - 1e-12 THEN z + coalesce(ex * z / nullif(room, 0), 0) ELSE z END AS z
+  FROM (SELECT *, sum(greatest(z - 0.3, 0)) OVER (PARTITION BY time) AS ex, sum(CASE WHEN z < 0.3 - 1e-12 THEN z END) OVER (PARTITION BY time) AS room FROM r{_k}))"""
+CAPS += ", cp AS (SELECT time, asset, sign(weight) * least(z, 0.3) AS capped FROM r5) SELECT time, asset, round(capped, 7) AS capped, round(CASE WHEN sum(abs(capped)) OVER (PARTITION BY time) > 0.9 THEN capped * 0.9 / sum(abs(capped)) OVER (PARTITION BY time) ELSE capped END, 7) AS weight FROM cp"
+add("f7_constraints", CAPS, lambda s, d: portfolio.capped(panel(s, d).select("time", "asset", "alpha").where("alpha is not null").withColumn("weight", F.col("alpha") / F.sum(F.abs("alpha")).over(portfolio.at())), 0.3).select("time", "asset", rounded("capped", 7).alias("capped"), rounded(portfolio.gross_capped(F.col("capped"), 0.9), 7).alias("weight")))
 SQL["f7_gross_cap"] = f"WITH {RET} SELECT time, asset, round(CASE WHEN sum(abs(alpha)) OVER (PARTITION BY time) > 0.5 THEN alpha * 0.5 / sum(abs(alpha)) OVER (PARTITION BY time) ELSE alpha END, 6) AS weight FROM rets WHERE alpha IS NOT NULL"
 QUERIES["f7_gross_cap"] = lambda s, d: panel(s, d).where("alpha is not null").select("time", "asset", rounded(portfolio.gross_capped(F.col("alpha"), 0.5)).alias("weight"))
 add("a11_turnover", f"WITH {RET}, {RAW} SELECT asset, round(sum(abs(raw - pr))::DOUBLE, 6) AS turnover FROM (SELECT *, lag(raw) OVER (PARTITION BY asset ORDER BY k) AS pr FROM bk) WHERE pr IS NOT NULL GROUP BY 1", lambda s, d: baskets(s, d).withColumn("step", F.abs(F.col("raw") - lag("raw"))).where("step is not null").groupBy("asset").agg(rounded(F.sum("step")).alias("turnover")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 BARS = """bars AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time) - 1 AS bar_idx FROM (
   SELECT event_type AS asset, date_trunc('hour', ts)::TIMESTAMP AS time, arg_min(value + 100.0, (ts, event_id)) AS open, max(value + 100.0) AS high,
     min(value + 100.0) AS low, arg_max(value + 100.0, (ts, event_id)) AS close, count(*)::DOUBLE AS volume FROM events GROUP BY 1, 2))"""
@@ -67,13 +69,14 @@ def trades(source: str = "codes", keys: str = "asset", fee: str = "0.0002", slip
   qty * ({slip}) * (entry_price / (1 + side * ({slip})) + exit_price / (1 - side * ({slip}))) AS slippage, funding, exit_kind FROM {p}_p)"""
 
 
-def metrics(source: str = "trades", keys: str = "asset") -> str:
+def metrics(source: str = "trades", keys: str = "asset", exact: bool = False) -> str:
     on = f"PARTITION BY {keys} ORDER BY trade_group_id"
     weights = (0.0117, 0.0317, 0.0861, 0.2341, 0.6364)
     edges = " ".join(f"+ (CASE WHEN place >= {' + '.join(f'((n + {j}) // 5)' for j in range(k + 1))} THEN 1 ELSE 0 END)" for k in range(4))
-    return f"""SELECT {keys}, count(*)::BIGINT AS trades, round(sum(ret), 6) AS roi, CASE WHEN count(*) FILTER (ret <= 0) = 0 THEN 'inf'::DOUBLE ELSE round(coalesce(sum(ret) FILTER (ret > 0), 0) / nullif(-sum(ret) FILTER (ret <= 0), 0), 4) END AS pf,
+    out = f"""SELECT {keys}, count(*)::BIGINT AS trades, round(sum(ret), 6) AS roi, CASE WHEN count(*) FILTER (ret <= 0) = 0 THEN 'inf'::DOUBLE ELSE round(coalesce(sum(ret) FILTER (ret > 0), 0) / nullif(-sum(ret) FILTER (ret <= 0), 0), 4) END AS pf,
   round(avg((ret > 0)::INT::DOUBLE), 6) AS win_rate, round(coalesce(avg(ret) FILTER (ret > 0), 0) * avg((ret > 0)::INT::DOUBLE) - coalesce(avg(-ret) FILTER (ret <= 0), 0) * (1 - avg((ret > 0)::INT::DOUBLE)), 8) AS exp,
   round(CASE WHEN count(*) > 1 AND stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) * sqrt(count(*)) ELSE 0 END, 5) AS sharpe, round(max(dd), 6) AS max_drawdown,
   round(0.6 * sum(list_extract({list(weights)}, (0 {edges} + 1)::BIGINT) * ret) + 0.4 * sum(ret), 6) AS consistency
 FROM (SELECT *, (greatest(max(eq) OVER ({on} ROWS UNBOUNDED PRECEDING), 1.0) - eq) / greatest(max(eq) OVER ({on} ROWS UNBOUNDED PRECEDING), 1.0) AS dd FROM (
   SELECT *, pnl / 100000.0 AS ret, 1 + sum(pnl / 100000.0) OVER ({on} ROWS UNBOUNDED PRECEDING) AS eq, row_number() OVER ({on}) - 1 AS place, count(*) OVER (PARTITION BY {keys}) AS n FROM {source})) GROUP BY {keys}"""
+    return re.sub(r", (4|5|6|8)\) AS (roi|win_rate|exp|sharpe|max_drawdown|consistency)\b", r", 15) AS \2", out).replace(", 0), 4) END AS pf", ", 0), 15) END AS pf") if exact else out

@@ -124,3 +124,20 @@ def append_table(df: DataFrame, path: str, *partitions: str) -> None:
 def snapshot_digests(spark: SparkSession, path: str) -> DataFrame:
     """SHA-256 and modification time of each file, as columns that joins keep."""
     return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("snapshot_sha256"), "modificationTime")
+
+
+def finite(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose columns are all finite numbers."""
+    for c in columns:
+        df = df.where(F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf")))
+    return df
+
+
+def complete_times(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows at times at which no asset lacks one of the columns."""
+    lacking = None
+    for c in columns:
+        one = F.col(c).isNull()
+        lacking = one if lacking is None else lacking | one
+    times = df.groupBy("time").agg(F.max(lacking).alias("lacking")).where("not lacking").select("time")
+    return df.join(times, "time", "left_semi")
