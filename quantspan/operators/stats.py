@@ -151,11 +151,16 @@ def monte_carlo_runs(returns: DataFrame, runs: int = 1000, seed: int = 7) -> Dat
         for batch in batches:
             for asset, r, first in zip(batch["asset"], batch["r"], batch["first"], strict=True):
                 r = np.asarray(r, np.float64)
+                made: dict[str, list] = {c: [] for c in ("replica", "metric", "value", "final")}
                 for k in range(first, min(first + REPLICAS, runs)):
                     rng = np.random.default_rng([seed, k + 1])
                     drawn = r[None, :] if k < 0 else np.stack([r[rng.integers(0, len(r), len(r))], rng.permutation(r)])
                     for name, values in replica_metrics(drawn).items():
-                        yield pd.DataFrame({"asset": asset, "replica": [2 * k + j if k >= 0 else -1 for j in range(len(drawn))], "metric": name, "value": values, "final": 1 + drawn.sum(1)})
+                        made["replica"] += [2 * k + j if k >= 0 else -1 for j in range(len(drawn))]
+                        made["metric"] += [name] * len(drawn)
+                        made["value"] += values.tolist()
+                        made["final"] += (1 + drawn.sum(1)).tolist()
+                yield pd.DataFrame({"asset": asset, **made})
 
     return series.repartition("asset", "first").mapInPandas(run, "asset string, replica int, metric string, value double, final double")
 

@@ -85,7 +85,7 @@ add("o1_sweep", f"{SWEEP} SELECT * FROM mt", lambda s, d: shown_metrics(sweep.sw
 add("o1_optimise", f"{EXACT}, {ranked('asset')} SELECT asset, lb, round(sharpe, 5) AS sharpe, trades FROM rk WHERE rank = 1", lambda s, d: se.ranked(plain(s, d)).where("rank = 1").select("asset", "lb", rounded("sharpe", 5).alias("sharpe"), "trades"))
 add("o2_rewarded_sweep", f"{SEARCH} SELECT asset, lb, rrr, {SHOWN} FROM mt", lambda s, d: shown_metrics(found(s, d), "asset", "lb", "rrr"))
 add("o3_smart_choice", f"{EXACT}, {ranked('asset')} SELECT asset, lb, fallback FROM ch", lambda s, d: se.chosen(plain(s, d)).select("asset", "lb", "fallback"))
-add("o1_optimise_rewarded", f"{SEARCH}, {ranked('asset')} SELECT asset, lb, rrr, fallback FROM ch", lambda s, d: se.chosen(found(s, d)))
+add("o1_optimise_rewarded", f"{SEARCH}, {ranked('asset')} SELECT asset, lb, coalesce(rrr, 0)::INT AS rrr, fallback FROM ch", lambda s, d: se.chosen(found(s, d)).withColumn("rrr", F.coalesce("rrr", F.lit(0))))
 add("o4_fallback", f"{EXACT}, {ranked('asset', 22)} SELECT asset, lb, fallback FROM ch", lambda s, d: se.chosen(plain(s, d), least_trades=22).select("asset", "lb", "fallback"))
 EXC = "ex AS (SELECT t.asset, trade_group_id, side, max(high) AS h, min(low) AS l, max(close) FILTER (bar_idx = entry_idx) AS e, max(close) FILTER (bar_idx = exit_idx) AS x FROM trades t JOIN bars b ON b.asset = t.asset AND b.bar_idx BETWEEN entry_idx AND exit_idx GROUP BY 1, 2, 3), rr AS (SELECT asset, trade_group_id, least(CASE side WHEN 1 THEN h - e ELSE e - l END / (e / 100), 3) AS peak_r, side * (x - e) / (e / 100) AS close_r FROM ex)"
 probe = lambda s, d: sim.simulate(codes(s, d), Costs(target_pct=5.0))
@@ -115,7 +115,7 @@ forward = lambda s, d: se.walk_forward(src.bars_from_events(s, d), IN, OUT)  # n
 add("o9_choices", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, lb, fallback FROM ch", lambda s, d: (lambda p: se.chosen(se.searched(sweep.crosses(p, LBS, ("asset", "window_no")), p, Costs(), ("asset", "window_no", "lb")), keys=("asset", "window_no")).select("asset", "window_no", "lb", "fallback"))(sweep.windows(src.bars_from_events(s, d), IN, OUT).where("sample = 'IS'").drop("sample")))
 add("o9_walk_forward", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, lb, count(*)::BIGINT AS trades, round(sum(pnl), 5) AS pnl FROM oo GROUP BY 1, 2, 3", lambda s, d: forward(s, d).groupBy("asset", "window_no", "lb").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
 add("o15_panel_walk_forward", f"{WFO} SELECT asset, count(DISTINCT window_no)::BIGINT AS windows, count(*)::BIGINT AS trades, round(sum(pnl), 5) AS pnl FROM oo GROUP BY 1", lambda s, d: forward(s, d).groupBy("asset").agg(F.count_distinct("window_no").alias("windows"), F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
-add("o9_trade_trigger", None, lambda s, d: se.walk_forward_by_trades(src.bars_from_events(s, d), IN, 8).groupBy("asset", "window_no", "lb", "window_start", "window_stop").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
+add("o9_trade_trigger", None, lambda s, d: se.walk_forward_by_trades(src.bars_from_events(s, d), IN, 25).groupBy("asset", "window_no", "lb", "window_start", "window_stop").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
 add("w28_stitched", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, trade_group_id, round(1 + sum(pnl / 100000.0) OVER (PARTITION BY asset ORDER BY window_no, trade_group_id), 8) AS equity FROM oo", lambda s, d: sweep.stitched(forward(s, d)).select("asset", "window_no", "trade_group_id", rounded("equity", 8).alias("equity")))
 
 # --- single runs and runs by regime --------------------------------------------------------------
@@ -126,7 +126,7 @@ SINGLE = f"""WITH {q.BARS}, {PARTS}, ins AS (SELECT * EXCLUDE (sample) FROM pt W
 oa AS (SELECT a.*, c.rrr, coalesce(c.rrr, 3)::DOUBLE AS target_x FROM psc a JOIN ch c USING (asset, lb)), {q.trades('oa', 'asset, sample, lb', target='target_x', name='ob')}, {idle(q.metrics('ob', 'asset, sample, lb', exact=True), 'oa', 'asset, sample, lb', 'om')},
 runs AS (SELECT *, 'raw' AS phase, NULL::INT AS rrr FROM rm UNION ALL BY NAME SELECT om.*, 'optimised' AS phase, ch.rrr FROM om JOIN ch USING (asset, lb))"""
 single = lambda s, d: se.single_run(src.bars_from_events(s, d), 300, 200)
-add("o8_single_run", f"{SINGLE} SELECT asset, phase, sample, lb, rrr, {SHOWN} FROM runs", lambda s, d: shown_metrics(single(s, d), "asset", "phase", "sample", "lb", "rrr"))
+add("o8_single_run", f"{SINGLE} SELECT asset, phase, sample, lb, coalesce(rrr, 0)::INT AS rrr, {SHOWN} FROM runs", lambda s, d: shown_metrics(single(s, d).withColumn("rrr", F.coalesce("rrr", F.lit(0))), "asset", "phase", "sample", "lb", "rrr"))
 RATIO = ", ".join(f"round(max({m}) FILTER (sample = 'OOS') / nullif(max({m}) FILTER (sample = 'IS'), 0), 5) AS {m}" for m in se.METRICS)
 add("a7_replication_ratios", f"{SINGLE} SELECT asset, phase, {RATIO} FROM runs GROUP BY 1, 2", lambda s, d: se.replication(single(s, d)).select("asset", "phase", *(rounded(m, 5).alias(m) for m in se.METRICS)))
 add("o5_regime_search", None, lambda s, d: se.regime_search(src.bars_from_events(s, d).where("bar_idx < 400")))

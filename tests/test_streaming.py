@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quantspan.config import Costs
-from quantspan.operators import indicators, signals, simulate
+from quantspan.operators import asof, indicators, pairs, signals, simulate
 from quantspan.operators.sequential import simulate_sequential
 from quantspan.sources.bars import OFFSET, numbered, ticks_to_bars
-from quantspan.streaming.bars import stream_bars, stream_ema
+from quantspan.streaming.bars import stream_asof, stream_bars, stream_ema, stream_kalman, stream_rolling, stream_session_vwap
 from tests.test_engine import series
 
 
@@ -58,3 +58,50 @@ def test_currency_results_stay_within_the_risk_band(spark):
     assert m == pytest.approx(rows.groupby("asset").pnl.sum().to_dict())
     with pytest.raises(ValueError):
         simulate.simulate(coded, costs)
+
+
+def source(spark, df, path):
+    df.coalesce(1).write.parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_session_vwap_and_kalman_equal_batch(spark, tmp_path):
+    bars = spark.createDataFrame(series(80)).withColumn("time", F.col("time").cast("timestamp_ntz"))
+    got = {(r["asset"], r["time"]): r["vwap"] for r in run(stream_session_vwap(source(spark, bars, str(tmp_path / "v"))), spark, "stream_vwap").collect()}
+    want = indicators.vwap_session(bars).collect()
+    assert len(got) == len(want) and all(got[r["asset"], r["time"]] == pytest.approx(r["vwap"]) for r in want)
+    legs = pairs.pair_legs(bars)
+    named = legs.withColumn("pair", F.concat_ws("/", "a", "b")).select("pair", "time", "log_a", "log_b")
+    got = {r["time"]: r["beta"] for r in run(stream_kalman(source(spark, named, str(tmp_path / "k"))), spark, "stream_kalman").collect()}
+    want = pairs.kalman(legs).join(legs.select("bar_idx", "time"), "bar_idx").collect()
+    assert len(got) == 80 and all(got[r["time"]] == pytest.approx(r["beta"]) for r in want)
+
+
+def test_stream_asof_equals_batch(spark, tmp_path):
+    bars = spark.createDataFrame(series(60)).withColumn("time", F.col("time").cast("timestamp_ntz")).select("asset", "time", "close")
+    feed = bars.where("hour(time) % 8 = 3").select("asset", (F.col("time") + F.expr("INTERVAL 0 MINUTES")).alias("time"), (F.col("close") * 2).alias("rate"))
+    got = {(r["asset"], r["time"]): r["rate"] for r in run(stream_asof(source(spark, bars, str(tmp_path / "b")), source(spark, feed, str(tmp_path / "f")), "rate"), spark, "stream_asof").collect()}
+    want = {(r["asset"], r["time"]): r["rate"] for r in asof.asof_backward(bars, feed, ["rate"]).collect()}
+    assert got == want and None in got.values()
+
+
+def test_rolling_windows_and_late_rows(spark, tmp_path):
+    """A row that comes after the watermark has passed changes no window that was emitted."""
+    bars = spark.createDataFrame(series(60, assets=("x",))).withColumn("time", F.col("time").cast("timestamp_ntz")).select("asset", "time", "high", "low", "close")
+    path = str(tmp_path / "r")
+    bars.coalesce(1).write.parquet(path)
+    stream = stream_rolling(spark.readStream.schema(bars.schema).parquet(path), "4 hours", "1 hour", "1 hour")
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+
+    def go():
+        query = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return {r["until"]: (r["bars"], r["mean"]) for r in spark.read.parquet(out).collect()}
+
+    before = go()
+    full = [v for v in before.values() if v[0] == 4]
+    assert len(full) > 40
+    late = bars.orderBy("time").limit(3).withColumn("close", F.lit(1e6))
+    late.coalesce(1).write.mode("append").parquet(path)
+    after = go()
+    assert {k: after[k] for k in before} == before
