@@ -83,5 +83,23 @@ SELECT fl.doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS
 FROM fl LEFT JOIN ru ON fl.doc_id = ru.doc_id GROUP BY 1"""
 
 
+#: Distinct shingle sets meet on their shingles; components are the closure of the links.
+NEAR_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_distinct([w[k] || ' ' || w[k + 1] FOR k IN range(1, len(w))]) END AS s FROM w),
+one AS (SELECT min(doc_id) AS rep, list_sort(s) AS s, len(s) AS n FROM s WHERE len(s) > 0 GROUP BY ALL),
+e AS (SELECT rep, n, unnest(s) AS x FROM one),
+p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT rep AS a, rep AS b FROM one UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a AS rep, min(b) AS component FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE component END AS component_id, CASE WHEN len(s.s) = 0 THEN true ELSE s.doc_id = component END AS kept FROM s LEFT JOIN one ON len(s.s) > 0 AND one.s = list_sort(s.s) LEFT JOIN c ON c.rep = one.rep"""
+
+#: Equal payloads by their text; base32 from the hexadecimal digest, four digits from each five.
+WARC_SQL = """WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, strlen(coalesce(html, ''))::BIGINT AS n FROM pages),
+f AS (SELECT html, min(page_id) AS first FROM p GROUP BY 1),
+q AS (SELECT p.*, first, row_number() OVER (PARTITION BY p.html, p.page_id) AS k FROM p JOIN f ON p.html = f.html)
+SELECT page_id, n AS payload_bytes, list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 1 + 5 * (g // 4), 5))::BIGINT >> (15 - 5 * (g % 4))) & 31)::INT + 1, 1) FOR g IN range(0, 32)], 'string_agg', '') AS payload_digest,
+CASE WHEN page_id = first AND k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first AND k = 1 THEN NULL ELSE first END AS refers_to FROM q"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_winnowing_lines": LINES_SQL}
+    return {"op2_winnowing_lines": LINES_SQL, "op6_minhash_hamming": NEAR_SQL, "op9_warc_round_trip": WARC_SQL}

@@ -171,9 +171,12 @@ def test_long_lines_equal_brute_force(spark):
     assert sorted(map(str, have)) == sorted(map(str, want)) and short > 50
 
 
-def test_repeated_strings_equal_brute_force(spark):
-    rows, length = texts(3), 60
-    got = substrings.remove_repeats(frame(spark, rows), length=length, reaches=(24, 5, 1)).toPandas()
+@pytest.mark.parametrize("length, reaches", [(60, (24, 5, 1)), (substrings.LENGTH, substrings.REACHES)])
+def test_repeated_strings_equal_brute_force(spark, length, reaches):
+    rows = texts(3)
+    shared = rows[5][1]
+    rows += [(200 + k, f"{'x' * k}{shared[100 * k : 100 * k + 380 + 15 * k]}{'y' * k}") for k in range(9)]
+    got = substrings.remove_repeats(frame(spark, rows), length=length, reaches=reaches).toPandas()
     counts = collections.Counter(d[p : p + length] for d in ((t or "").encode() for _, t in rows) for p in range(len(d) - length + 1))
     want = []
     for i, t in rows:
@@ -291,6 +294,94 @@ def test_classifiers_on_held_out_rows(spark, of, label):
     assert of(docs.limit(0), labels).count() == 0 and of(docs, labels.limit(0)).count() == len(got)
 
 
+def test_dual_descent_equals_projected_gradient():
+    """The same dual problem, solved by plain projected gradient steps."""
+    rng = np.random.default_rng(12)
+    rows = [np.unique(rng.integers(0, 25, rng.integers(2, 8))).astype(np.int32) for _ in range(60)]
+    values = [rng.uniform(0.2, 1, len(r)).astype(np.float32) for r in rows]
+    y = np.array([int(rng.random() < (0.8 if 3 in r or 7 in r else 0.3)) for r in rows])
+    cost = np.full(60, 0.7)
+    x = np.zeros((60, 26))
+    for k, (r, v) in enumerate(zip(rows, values, strict=True)):
+        x[k, r], x[k, 25] = v, 1.0
+    sign = np.where(y == 1, 1.0, -1.0)
+    gram, alpha = (x * sign[:, None]) @ (x * sign[:, None]).T, np.zeros(60)
+    for _ in range(20_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    want = (alpha * sign) @ x
+    w, bias = quality.dual_descent(rows, values, y, cost, 3000)
+    primal = lambda v: v @ v / 2 + (cost * np.maximum(0, 1 - sign * (x @ v))).sum()
+    got = np.append(w[:25], bias)
+    assert not w[25:].any() and primal(got) <= primal(want) * 1.001 and np.abs(got - want).max() < 0.05
+    ratio = quality.log_ratios(rows, y)
+    for f in range(25):
+        n = [sum(f in r for r, v in zip(rows, y, strict=True) if v == c) for c in (0, 1)]
+        size = [(y == 0).sum(), (y == 1).sum()]
+        assert ratio[f] == pytest.approx(np.log((n[1] / size[1] + 1 / 60) / (n[0] / size[0] + 1 / 60)))
+
+
+def test_ordinal_fit_equals_plain_descent():
+    """The penalised likelihood that plain descent by numeric slopes reaches is not below the fitted one by much."""
+    rng = np.random.default_rng(13)
+    keys, n, penalty = np.arange(100, 108), 80, 3e-3
+    rows = [np.flatnonzero(rng.random(8) < 0.4).astype(np.int32) for _ in range(n)]
+    force = np.array([2.0, 1.0, 0, 0, -1.0, 0, 0.5, 0])
+    y = np.array([int(force[r].sum() + rng.logistic() > 0.5) for r in rows])
+    dense = np.array([max(0.0, force[r].sum() + rng.normal()) for r in rows])
+    cuts = np.quantile(dense[y == 1], [1 / 3, 2 / 3])
+    grade = np.where(y == 1, 1 + (dense[:, None] > cuts).sum(1), 0)
+    has = np.zeros((n, 8))
+    for k, r in enumerate(rows):
+        has[k, r] = 1
+
+    def loss(w, theta):
+        if (np.diff(theta) <= 0).any():
+            return np.inf
+        below = 1 / (1 + np.exp(-(np.concatenate([[-np.inf], theta, [np.inf]])[None, :] - (has @ w)[:, None])))
+        return -np.log(below[np.arange(n), grade + 1] - below[np.arange(n), grade]).mean() + penalty * np.abs(w).sum()
+
+    model = toxicity.fit_rows(rows, dense, y, keys, penalty=penalty, steps=4000)
+    own = np.array([model.weight.get(int(k), 0.0) for k in keys])
+    v, rate = np.concatenate([np.zeros(8), [0.0, 1.0, 2.0]]), 0.5
+    best = loss(v[:8], v[8:])
+    for _ in range(600):
+        slope = np.array([(loss(*np.split(v + 1e-6 * e, [8])) - loss(*np.split(v - 1e-6 * e, [8]))) / 2e-6 for e in np.eye(11)])
+        while rate > 1e-12 and not loss(*np.split(v - rate * slope, [8])) <= best:
+            rate /= 2
+        if rate <= 1e-12:
+            break
+        v, best, rate = v - rate * slope, loss(*np.split(v - rate * slope, [8])), rate * 1.5
+    assert (np.diff(model.thresholds) > 0).all()
+    assert loss(own, model.thresholds) <= best + 0.01
+    assert own[0] > own[1] > 0 > own[4]
+
+
+def test_training_rows_are_bounded_after_the_join(spark):
+    """Labels without a document take no place, and rows that share an id count once."""
+    from quantspan.llm.tokens import training_rows
+
+    docs = spark.createDataFrame([(k % 40, f"text {k % 40}") for k in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(-200, 40)], "doc_id long, quality int")
+    got = training_rows(docs, labels, "quality", 10, Workspace(spark, "test")).collect()
+    assert len(got) == 10 and len({r["text"] for r in got}) == 10
+
+
+def test_blocks_of_open_buckets(spark, monkeypatch):
+    """Small blocks, so that block meets block: the result is that of one block."""
+    rnd = random.Random(14)
+    base = [f"w{k}" for k in range(80)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(rnd.randint(1, 7)):
+            w[rnd.randrange(len(w))] = f"n{rnd.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle_words=2).collect()}
+    monkeypatch.setattr(neardup, "BLOCK", 5)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs, shingle_words=2).collect()} == want
+
+
 def test_severity_is_ordered():
     model = toxicity.Model({}, np.array([1.0, 2.0, 4.0]))
     reach = model.at_least(2.5)
