@@ -1,7 +1,8 @@
 """Headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS]; prints one JSON line.
 
-Bars times candidates a second is the unit that compares with a serial backtester; each query's time is the
-median of three runs after a warm-up.
+Bars times candidates a second is the unit that compares with a serial backtester: ``bar_candidates_per_sec`` has it
+for the searches, over hourly bars as the queries have them and over minute bars, where there is work to share out.
+A query's time is the median of its runs after a warm-up.
 """
 
 from __future__ import annotations
@@ -13,24 +14,35 @@ import time
 
 from pyspark.sql import SparkSession
 
-HEADLINES = ["s19_tick_bars", "w3_ema", "p_confluence_rules", "k8_simulate", "a1_metrics", "o1_sweep", "o14_surface", "o9_walk_forward", "j2_asof_funding", "w35_ols_residual", "f8_basket", "t9_cscv", "t1_monte_carlo"]
+HEADLINES = ["s19_tick_bars", "w3_ema", "p_confluence_rules", "k8_simulate", "a1_metrics", "o1_sweep", "o2_rewarded_sweep", "o14_surface", "o9_walk_forward", "j2_asof_funding", "w35_ols_residual", "f8_basket", "t9_cscv", "t1_monte_carlo"]
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-    spark = SparkSession.builder.master(f"local[{cpus}]").config("spark.sql.shuffle.partitions", cpus).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
+    conf = {"spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.session.timeZone": "UTC", "spark.driver.memory": "8g"}
+    spark = SparkSession.builder.master(f"local[{cpus}]").config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     from quantspan import catalog
+    from quantspan.operators import search, sweep
+    from quantspan.sources import bars as src
 
-    queries, times = catalog.queries(), {}
-    for name in HEADLINES:
+    def over_minutes(s, d):
+        return sweep.sweep(sweep.crosses(src.bars_from_events(s, d, "minute"), list(search.LOOKBACKS)))
+
+    timed, times = {n: catalog.queries()[n] for n in HEADLINES} | {"o1_sweep_minutes": over_minutes}, {}
+    for name, query in timed.items():
         taken = []
-        for _ in range(4):
+        while len(taken) < (4 if sum(taken) < 20 else 2):
             began = time.perf_counter()
-            queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            query(spark, sf_dir).write.format("noop").mode("overwrite").save()
             taken.append(time.perf_counter() - began)
         times[name] = round(statistics.median(taken[1:]), 3)
-    print(json.dumps({"metric": "headline queries, total of medians", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    hours, minutes = (src.bars_from_events(spark, sf_dir, unit).count() for unit in ("hour", "minute"))
+    tried = len(search.LOOKBACKS)
+    # the rewarded search and the walk simulate every candidate twice, the walk over windows of 250 bars every 100
+    work = {"o1_sweep": hours * tried, "o2_rewarded_sweep": 2 * hours * tried, "o9_walk_forward": 2 * hours * tried * 250 // 100, "o1_sweep_minutes": minutes * tried}
+    rates = {k: round(v / times[k]) for k, v in work.items()}
+    print(json.dumps({"metric": "headline queries, total of medians", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "bar_candidates_per_sec": rates, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
 
 
 if __name__ == "__main__":
