@@ -26,8 +26,10 @@ from .shared import Workspace, columns_as
 SHARD, BLOCK = 8192, 1024
 #: Neighbours in the lowest layer and above; candidates kept while building; nodes compared with all others.
 LOW, HIGH, BUILD_BEAM, BRUTE = 32, 16, 64, 512
-#: First beam, nodes expanded in a step, audited queries of a task and the recall they must reach.
-BEAM, STEP, AUDIT, RECALL = 64, 4, 48, 0.99
+#: First beam, nodes expanded in a step, audited queries of a block, the links they must have and the recall to reach.
+BEAM, STEP, AUDIT, LINKS, RECALL = 64, 4, 48, 32, 0.99
+#: Blocks of queries that follow one copy of a graph.
+GROUP = 8
 
 
 @dataclass
@@ -171,10 +173,23 @@ class Graph:
         return np.concatenate([x[0] for x in found] or [np.zeros(0, np.int64)]), np.concatenate([x[1] for x in found] or [np.zeros(0, np.int64)])
 
 
-def audited_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of all queries, with beams widened until the audited ones have RECALL of theirs; in double precision."""
-    audited = np.unique(np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int))
-    truth = queries[audited] @ exact.T >= threshold
+def audited_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshold: float, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Links of all queries in double precision, with beams widened until the audited ones have RECALL of theirs;
+    and of the audited links how many were found, and how many there are.
+
+    ``own``: of each query the node that is the query itself, or -1; it is no evidence. More queries are audited
+    until they have LINKS links in the shard, or all are.
+    """
+    own = np.full(len(queries), -1) if own is None else own
+    count = min(AUDIT, len(queries))
+    while True:
+        audited = np.unique(np.linspace(0, len(queries) - 1, count).astype(int))
+        truth = queries[audited] @ exact.T >= threshold
+        is_own = own[audited] >= 0
+        truth[np.flatnonzero(is_own), own[audited][is_own]] = False
+        if truth.sum() >= LINKS or count == len(queries):
+            break
+        count = min(2 * count, len(queries))
     beam = min(BEAM, len(exact))
     while True:
         q, node = graph.links(queries[audited], threshold, beam)
@@ -185,7 +200,7 @@ def audited_links(graph: Graph, exact: np.ndarray, queries: np.ndarray, threshol
         beam *= 2
     q, node = graph.links(queries, threshold, beam)
     keep = np.einsum("ij,ij->i", queries[q], exact[node]) >= threshold
-    return q[keep], node[keep]
+    return q[keep], node[keep], int((hit & truth).sum()), int(truth.sum())
 
 
 def _matrix(rows: pd.Series) -> np.ndarray:
@@ -195,7 +210,8 @@ def _matrix(rows: pd.Series) -> np.ndarray:
 
 
 def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.93) -> DataFrame:
-    """``vec_id, n_links, component_id, kept`` for every row.
+    """``vec_id, n_links, component_id, kept`` for every row, and ``audited_recall``: of all links that audits knew of,
+    the share that the graphs found (1 if there was none).
 
     Vectors of one label and one length are linked if their cosine is ``threshold`` or more. Null labels,
     null and zero vectors and vectors with null or non-finite components are linked with nothing; so
@@ -227,20 +243,31 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
 
     graphs = work.table(dealt.groupBy("label", "length", "shard").applyInPandas(build, f"label {kind}, length int, shard long, graph binary"), "graphs")
     blocks = work.table(dealt.groupBy("label", "length", "block").applyInPandas(pack, f"label {kind}, length int, block long, queries binary"), "blocks")
-    pairs = graphs.select("label", "length", "shard").join(blocks.select("label", "length", "block"), ["label", "length"])
-    tasks = pairs.join(graphs, ["label", "length", "shard"]).join(blocks, ["label", "length", "block"])
-    count = max(1, min(pairs.count(), 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    # A shard's graph comes first, its blocks of queries follow it one by one; it is sent once for GROUP blocks.
+    group = F.floor(F.col("block") / GROUP)
+    asked = blocks.join(graphs.select("label", "length", "shard"), ["label", "length"]).select("label", "length", "shard", group.alias("part"), "block", F.col("queries").alias("held"))
+    each = blocks.select("label", "length", group.alias("part")).distinct()
+    sent = graphs.join(each, ["label", "length"]).select("label", "length", "shard", "part", F.lit(-1).cast("long").alias("block"), F.col("graph").alias("held"))
+    keys = ["label", "length", "shard", "part"]
+    tasks = sent.unionByName(asked).repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "block")
 
     def search(batches):
+        own = exact = net = None
         for batch in batches:
-            for graph, queries in zip(batch["graph"], batch["queries"], strict=True):
-                own, exact, net = pickle.loads(graph)
-                asked, wanted = pickle.loads(queries)
-                q, node = audited_links(net, exact, wanted, threshold)
+            for block, held in zip(batch["block"], batch["held"], strict=True):
+                if block < 0:
+                    own, exact, net = pickle.loads(held)
+                    continue
+                asked, wanted = pickle.loads(held)
+                at = np.searchsorted(own, asked).clip(max=len(own) - 1)  # a shard's nodes are in order
+                q, node, found, true = audited_links(net, exact, wanted, threshold, np.where(own[at] == asked, at, -1))
                 a, b = asked[q], own[node]
-                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b]})
+                yield pd.DataFrame({"a": np.minimum(a, b)[a != b], "b": np.maximum(a, b)[a != b], "found": 0, "true": 0})
+                yield pd.DataFrame({"a": [0], "b": [0], "found": [found], "true": [true]})
 
-    links = work.table(tasks.select("graph", "queries").repartition(count).mapInPandas(search, "a long, b long").distinct(), "links")
+    rows = work.table(tasks.select("block", "held").mapInPandas(search, "a long, b long, found long, true long").groupBy("a", "b").agg(F.sum("found").alias("found"), F.sum("true").alias("true")), "links")
+    links, audit = rows.where("a <> b").select("a", "b"), rows.where("a = b")
+    recall = audit.agg(F.coalesce(F.try_divide(F.sum("found"), F.sum("true")), F.lit(1.0)).cast("double").alias("audited_recall"))
     copies = nodes.select("node", "copies")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(copies.select(F.col("node").alias("b"), "copies"), "b").groupBy("a").agg(F.sum("copies").alias("linked")).select(F.col("a").alias("node"), "linked")
@@ -250,4 +277,5 @@ def embedding_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col:
     least = group.groupBy("component").agg(F.min("rep").alias("component_id"))
     out = marks.select("vec_id", "node").join(group.join(least, "component").select("node", "n_links", "component_id"), "node", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    out = out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return out.join(F.broadcast(recall), F.lit(True))  # one row

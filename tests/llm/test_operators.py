@@ -422,7 +422,7 @@ def test_embedding_links_equal_brute_force(spark, shard, monkeypatch):
             assert r.component_id == find(int(r.vec_id)) and r.n_links in n_links.get(int(r.vec_id), [0])
         else:
             assert r.n_links == 0 and r.component_id != r.component_id and r.kept
-    assert sum(links.values()) > 500 and len(got) == len(rows)
+    assert sum(links.values()) > 500 and len(got) == len(rows) and got.audited_recall.between(hnsw.RECALL, 1).all()
 
 
 def test_graph_recall():
@@ -430,6 +430,9 @@ def test_graph_recall():
     centres = rng.normal(size=(150, 24))
     x = np.concatenate([c + rng.normal(size=(20, 24)) * 0.12 for c in centres])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, node = hnsw.audited_links(hnsw.Graph(x), x, x, 0.93)
+    q, node, found, true = hnsw.audited_links(hnsw.Graph(x), x, x, 0.93, np.arange(len(x)))
     truth = int((x @ x.T >= 0.93).sum())
     assert len(q) >= 0.98 * truth and len(set(zip(q.tolist(), node.tolist(), strict=True))) == len(q)
+    assert true >= hnsw.LINKS and found >= hnsw.RECALL * true
+    lonely = np.eye(24)
+    assert hnsw.audited_links(hnsw.Graph(lonely), lonely, lonely, 0.93, np.arange(24))[2:] == (0, 0)
