@@ -113,7 +113,7 @@ def walk_forward_by_trades(bars: DataFrame, in_bars: int, trades: int, lookbacks
     while not (state := sizes.where("start < n")).isEmpty():
         rows = bars.select("asset", "bar_idx", "time", "open", "high", "low", "close").join(state, "asset")
         inside = rows.where(F.col("bar_idx").between(F.col("start") - in_bars, F.col("start") - 1)).withColumn("bar_idx", F.col("bar_idx") - F.col("start") + in_bars).drop("start", "n")
-        best = chosen(searched(crosses(inside, list(lookbacks)), inside, costs, ("asset", "lb"), reward), least_trades=least_trades).select("asset", "lb")
+        best = written(chosen(searched(crosses(inside, list(lookbacks)), inside, costs, ("asset", "lb"), reward), least_trades=least_trades).select("asset", "lb"))
         rest = rows.where("bar_idx >= start").withColumn("bar_idx", F.col("bar_idx") - F.col("start")).join(best, "asset")
         probe = simulate(crosses_at(rest.drop("start", "n"), ("asset", "lb")), costs, ("asset", "lb"))
         place = F.row_number().over(Window.partitionBy("asset").orderBy("trade_group_id"))

@@ -245,7 +245,10 @@ def regime_filter(spark, sf_dir):
 
 # --- bar by bar ----------------------------------------------------------------------------------
 HELD = ["asset", "trade_group_id", "side", "entry_idx", "exit_idx", "exit_kind"]
-query("k6_hold_cap")(lambda s, d: simulate_sequential(codes(s, d), Costs(max_hold=10)).select(*HELD, rounded("pnl").alias("pnl")))
-query("k6_sessions")(lambda s, d: simulate_sequential(codes(s, d).withColumn("inside", minutes().between(480, 1010)).withColumn("ending", F.col("inside") & ~F.coalesce(F.lead("inside").over(w()), F.lit(False))), Costs(), session="inside", session_end="ending").select(*HELD, rounded("pnl").alias("pnl")))
+HELD_SQL = "SELECT asset, trade_group_id, side, entry_idx, exit_idx, exit_kind, round(pnl, 6) AS pnl FROM st"
+SESSIONS = f"sess AS (SELECT *, {MINUTES} BETWEEN 480 AND 1010 AS ins, ({MINUTES} BETWEEN 480 AND 1010) AND NOT coalesce(lead({MINUTES} BETWEEN 480 AND 1010) OVER ({q.W}), false) AS fin FROM codes)"
+query("k6_hold_cap", f"WITH RECURSIVE {q.crossed()}, {q.stepped('codes', 10)} {HELD_SQL}")(lambda s, d: simulate_sequential(codes(s, d), Costs(max_hold=10)).select(*HELD, rounded("pnl").alias("pnl")))
+query("k6_sessions", f"WITH RECURSIVE {q.crossed()}, {SESSIONS}, {q.stepped('sess', 0, 'ins', 'fin')} {HELD_SQL}")(lambda s, d: simulate_sequential(codes(s, d).withColumn("inside", minutes().between(480, 1010)).withColumn("ending", F.col("inside") & ~F.coalesce(F.lead("inside").over(w()), F.lit(False))), Costs(), session="inside", session_end="ending").select(*HELD, rounded("pnl").alias("pnl")))
 query("k8_sequential", f"WITH {q.crossed()}, {q.trades()} SELECT asset, trade_group_id, side, entry_idx, exit_idx, exit_kind, round(pnl, 6) AS pnl FROM trades")(lambda s, d: simulate_sequential(codes(s, d)).select(*HELD, rounded("pnl").alias("pnl")))
-query("k8_forex")(lambda s, d: shown_metrics(sim.metrics(simulate_sequential(codes(s, d), Costs.forex(pip=0.01, stop_pct=100.0, target_pct=300.0)), Costs.forex(pip=0.01))))
+RISKS = q.metrics("st").replace("pnl / 100000.0", "pnl").replace("1 + sum(", "sum(").replace(", 1.0) - eq) / greatest(max(eq) OVER (PARTITION BY asset ORDER BY trade_group_id ROWS UNBOUNDED PRECEDING), 1.0)", ", 0.0) - eq)")
+query("k8_forex", f"WITH RECURSIVE {q.crossed()}, {q.stepped('codes', pip=0.01)} {RISKS}")(lambda s, d: shown_metrics(sim.metrics(simulate_sequential(codes(s, d), Costs.forex(pip=0.01, stop_pct=100.0, target_pct=300.0)), Costs.forex(pip=0.01))))

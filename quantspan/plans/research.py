@@ -65,11 +65,12 @@ add("w32_funding_momentum", f"WITH {q.BARS}, {FEEDS}, z AS (SELECT *, {zb('rate'
     lambda s, d: carry.momentum(src.funding_feed(s, d)).select("asset", "time", "direction", rounded("strength").alias("strength")))
 add("w33_funding_with_interest", f"WITH {q.BARS}, {FEEDS}, j AS (SELECT f.*, open_interest FROM fund f ASOF LEFT JOIN oi o ON f.asset = o.asset AND f.time >= o.time), z AS (SELECT *, {zb('rate', 20)} AS zf, {zb('open_interest', 20)} AS zo FROM j), k AS (SELECT *, sign(zf) * sign(zo) * CASE WHEN zf IS NULL OR zo IS NULL THEN NULL ELSE least(abs(zf), abs(zo)) END AS joint FROM z) SELECT asset, time, CASE WHEN joint > 0 THEN -sign(zf) ELSE 0 END::INT AS direction, round(coalesce(abs(joint), 0), 6) AS strength FROM k",
     lambda s, d: carry.funding_with_interest(src.funding_feed(s, d), src.open_interest_feed(s, d)).select("asset", "time", "direction", rounded("strength").alias("strength")))
-SCHED = f"sc AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time, rank) AS place FROM (SELECT asset, unnest(generate_series(1704672000, 1705276800, 21600)) AS time, 'bar' AS kind, 0 AS rank FROM (SELECT DISTINCT asset FROM bars) UNION ALL SELECT asset, time, 'funding', 1 FROM fund WHERE time BETWEEN 1704672000 AND 1705276800 UNION ALL SELECT asset, time, 'trigger', 2 FROM fl WHERE time BETWEEN 1704672000 AND 1705276800))"
+SCHED = "en AS (SELECT asset, min(time) AS a, max(time) AS z FROM bt GROUP BY 1), sc AS (SELECT *, row_number() OVER (PARTITION BY asset ORDER BY time, rank) AS place FROM (SELECT asset, unnest(generate_series(a, z, 21600)) AS time, 'bar' AS kind, 0 AS rank FROM en UNION ALL SELECT asset, time, 'funding', 1 FROM fund JOIN en USING (asset) WHERE time BETWEEN a AND z UNION ALL SELECT asset, time, 'trigger', 2 FROM fl JOIN en USING (asset) WHERE time BETWEEN a AND z))"
 
 
 def ends(spark, sf_dir):
-    return src.bars_from_events(spark, sf_dir).select("asset", F.lit(1704672000).cast("long").alias("start"), F.lit(1705276800).cast("long").alias("stop")).distinct()
+    """From the first to the last bar of each asset."""
+    return bar_seconds(spark, sf_dir).groupBy("asset").agg(F.min("time").alias("start"), F.max("time").alias("stop"))
 
 
 def scheduled(s, d):

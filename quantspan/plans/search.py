@@ -115,7 +115,7 @@ forward = lambda s, d: se.walk_forward(src.bars_from_events(s, d), IN, OUT)  # n
 add("o9_choices", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, lb, fallback FROM ch", lambda s, d: (lambda p: se.chosen(se.searched(sweep.crosses(p, LBS, ("asset", "window_no")), p, Costs(), ("asset", "window_no", "lb")), keys=("asset", "window_no")).select("asset", "window_no", "lb", "fallback"))(sweep.windows(src.bars_from_events(s, d), IN, OUT).where("sample = 'IS'").drop("sample")))
 add("o9_walk_forward", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, lb, count(*)::BIGINT AS trades, round(sum(pnl), 5) AS pnl FROM oo GROUP BY 1, 2, 3", lambda s, d: forward(s, d).groupBy("asset", "window_no", "lb").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
 add("o15_panel_walk_forward", f"{WFO} SELECT asset, count(DISTINCT window_no)::BIGINT AS windows, count(*)::BIGINT AS trades, round(sum(pnl), 5) AS pnl FROM oo GROUP BY 1", lambda s, d: forward(s, d).groupBy("asset").agg(F.count_distinct("window_no").alias("windows"), F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
-add("o9_trade_trigger", None, lambda s, d: se.walk_forward_by_trades(src.bars_from_events(s, d), IN, 25).groupBy("asset", "window_no", "lb", "window_start", "window_stop").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
+add("o9_trade_trigger", None, lambda s, d: se.walk_forward_by_trades(src.bars_from_events(s, d), IN, 25, tuple(range(12, 40))).groupBy("asset", "window_no", "lb", "window_start", "window_stop").agg(F.count("*").alias("trades"), rounded(F.sum("pnl"), 5).alias("pnl")))
 add("w28_stitched", f"{WFO} SELECT asset, window_no::BIGINT AS window_no, trade_group_id, round(1 + sum(pnl / 100000.0) OVER (PARTITION BY asset ORDER BY window_no, trade_group_id), 8) AS equity FROM oo", lambda s, d: sweep.stitched(forward(s, d)).select("asset", "window_no", "trade_group_id", rounded("equity", 8).alias("equity")))
 
 # --- single runs and runs by regime --------------------------------------------------------------

@@ -69,6 +69,27 @@ def trades(source: str = "codes", keys: str = "asset", fee: str = "0.0002", slip
   qty * ({slip}) * (entry_price / (1 + side * ({slip})) + exit_price / (1 - side * ({slip}))) AS slippage, funding, exit_kind FROM {p}_p)"""
 
 
+def stepped(source: str, hold: int = 0, inside: str = "true", ending: str = "false", pip: float = 0.0) -> str:
+    """The simulation of ``source`` bar by bar, as a recursion over bars: ``st`` (trades); the WITH must be recursive."""
+    position, funding, slip = (1.0, 0.0, 0.03 * pip) if pip else (2500.0, 0.0001, 0.0003)
+    stop = f"px - side * {100 * pip}" if pip else "px * (1 - side * 1.0 / 100)"
+    target = f"px + side * {300 * pip}" if pip else "px * (1 + side * 3.0 / 100)"
+    move = f"CASE kind WHEN 'stop' THEN -1.0 WHEN 'target' THEN 3.0 ELSE least(greatest(side * (price - px) / {100 * pip}, -1.0), 3.0) END" if pip else "qty * side * (price - px)"
+    pnl = f"{move} - ({position} + qty * price) * 0.0002"
+    return f"""bb AS (SELECT asset, bar_idx AS i, open, high, low, code, hour(time) IN (0, 8, 16) AND minute(time) = 0 AS funded, {inside} AS inside, {ending} AS ending FROM {source}),
+rc AS (SELECT DISTINCT asset, -1::BIGINT AS i, 0 AS side, -1::BIGINT AS ent, 0.0::DOUBLE AS px, 0.0::DOUBLE AS qty, 0.0::DOUBLE AS paid, NULL::INT AS c_side, NULL::BIGINT AS c_ent, NULL::VARCHAR AS c_kind, NULL::DOUBLE AS c_pnl FROM bb
+ UNION ALL SELECT asset, i, CASE WHEN enters THEN want WHEN kind IS NOT NULL THEN 0 ELSE side END, CASE WHEN enters THEN i ELSE ent END, CASE WHEN enters THEN open * (1 + want * {slip}) ELSE px END, CASE WHEN enters THEN {position} / (open * (1 + want * {slip})) ELSE qty END, CASE WHEN enters OR kind IS NOT NULL THEN 0.0 ELSE paid2 END,
+  CASE WHEN kind IS NOT NULL THEN side END, CASE WHEN kind IS NOT NULL THEN ent END, kind, CASE WHEN kind IS NOT NULL THEN {pnl} - paid2 END
+ FROM (SELECT *, raw * (1 - side * {slip}) AS price, kind IS DISTINCT FROM 'stop' AND kind IS DISTINCT FROM 'target' AND want <> 0 AND (side = 0 OR kind = 'flip') AS enters
+ FROM (SELECT *, CASE WHEN on_stop THEN 'stop' WHEN on_target THEN 'target' WHEN want <> 0 AND side = -want THEN 'flip' WHEN (act = 2 AND side = 1) OR (act = 4 AND side = -1) THEN CASE WHEN ending THEN 'session' WHEN capped THEN 'hold' ELSE 'close' END END AS kind, CASE WHEN on_stop THEN stop WHEN on_target THEN target ELSE open END AS raw
+ FROM (SELECT *, tested AND CASE WHEN side = 1 THEN low <= stop ELSE high >= stop END AS on_stop, tested AND NOT CASE WHEN side = 1 THEN low <= stop ELSE high >= stop END AND CASE WHEN side = 1 THEN high >= target ELSE low <= target END AS on_target, CASE act WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END AS want
+ FROM (SELECT *, inside AND side <> 0 AND act NOT IN (1, 3) AND NOT ending AS tested, {stop} AS stop, {target} AS target
+ FROM (SELECT *, CASE WHEN NOT inside THEN 0 WHEN side <> 0 AND (ending OR capped) THEN CASE side WHEN 1 THEN 2 ELSE 4 END WHEN ending AND code IN (1, 3) THEN 0 ELSE code END AS act
+ FROM (SELECT bb.*, side, ent, px, qty, paid + CASE WHEN inside AND side <> 0 AND funded THEN qty * open * {funding} ELSE 0 END AS paid2, inside AND side <> 0 AND NOT ending AND {hold} > 0 AND bb.i - ent >= {hold} AS capped FROM rc JOIN bb ON bb.asset = rc.asset AND bb.i = rc.i + 1))))))),
+fin AS (SELECT rc.asset, side, ent, i, px, qty, paid, open * (1 - side * {slip}) AS price, 'end' AS kind FROM rc JOIN bb USING (asset, i) WHERE side <> 0 AND i = (SELECT max(i) FROM bb z WHERE z.asset = rc.asset)),
+st AS (SELECT asset, row_number() OVER (PARTITION BY asset ORDER BY c_ent) - 1 AS trade_group_id, c_side AS side, c_ent AS entry_idx, i AS exit_idx, c_kind AS exit_kind, c_pnl AS pnl FROM (SELECT asset, c_side, c_ent, i, c_kind, c_pnl FROM rc WHERE c_kind IS NOT NULL UNION ALL SELECT asset, side, ent, i, kind, {pnl} - paid FROM fin))"""
+
+
 def metrics(source: str = "trades", keys: str = "asset", exact: bool = False) -> str:
     on = f"PARTITION BY {keys} ORDER BY trade_group_id"
     weights = (0.0117, 0.0317, 0.0861, 0.2341, 0.6364)
