@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.windows import last_rows, w
@@ -67,3 +69,14 @@ def schedule(ends: DataFrame, cadence: int, feed: DataFrame, triggers: DataFrame
     every = bars.unionByName(within(feed, "funding", 1)).unionByName(within(triggers, "trigger", 2))
     place = F.row_number().over(Window.partitionBy("asset").orderBy("time", "rank"))
     return every.withColumn("place", place)
+
+
+def events(feed: DataFrame) -> Iterator[Row]:
+    """The rows of a feed in time order, one partition at a time on the driver."""
+    return feed.orderBy("time").toLocalIterator()
+
+
+def next_rebalance(scheduled: DataFrame, after: Column | int) -> DataFrame:
+    """Of each asset the first event strictly after a time: ``asset, time, kind``."""
+    later = scheduled.where(F.col("time") > (after if isinstance(after, Column) else F.lit(after)))
+    return later.groupBy("asset").agg(F.min("time").alias("time"), F.min_by("kind", F.struct("time", "rank")).alias("kind"))

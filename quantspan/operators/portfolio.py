@@ -105,3 +105,24 @@ def basket(alphas: DataFrame, longs: int, shorts: int) -> DataFrame:
     ranked = alphas.withColumn("up", up).withColumn("down", down)
     raw = F.when(F.col("alpha").isNull(), 0.0).when(F.col("up") <= longs, 1.0).when(F.col("down") <= shorts, -1.0).otherwise(0.0)
     return ranked.withColumn("raw", raw).withColumn("weight", F.coalesce(dollar_neutral(F.col("raw")), F.lit(0.0))).drop("up", "down")
+
+
+def sortino(ret: str, periods: float | None = None) -> Column:
+    """Mean over the root of the mean squared loss, annualised by ``periods``; null with fewer than two returns or losses. An aggregate."""
+    enough = (F.count(ret) >= 2) & (F.count_if(F.col(ret) < 0) >= 2)
+    down = F.sqrt(F.avg(F.pow(F.least(ret, F.lit(0.0)), F.lit(2.0))))
+    return F.when(enough, F.try_divide(F.avg(ret), F.nullif(down, F.lit(0.0)))) * (periods or 1.0) ** 0.5
+
+
+def objective(ret: str, benchmark: str | None = None, turnover: Column | float = 0.0, weights: tuple[float, float, float] = (1.0, 0.5, 0.1), periods: float | None = None, terms: dict[str, tuple[float, Column]] | None = None) -> Column:
+    """A score of returns, higher is better: the Sortino ratio less the size of the correlation with a benchmark and less
+    turnover, by their weights, and any further aggregates in ``terms`` by theirs. An aggregate; minus infinity for
+    fewer than two returns."""
+    score = weights[0] * F.coalesce(sortino(ret, periods), F.lit(0.0))
+    if benchmark is not None:
+        moves = (F.stddev_pop(ret) > 0) & (F.stddev_pop(benchmark) > 0)
+        score = score - weights[1] * F.when(moves, F.abs(F.coalesce(F.corr(ret, benchmark), F.lit(0.0)))).otherwise(0.0)
+    score = score - weights[2] * (turnover if isinstance(turnover, Column) else F.lit(float(turnover)))
+    for weight, term in (terms or {}).values():
+        score = score + weight * term
+    return F.when(F.count(ret) < 2, F.lit(float("-inf"))).otherwise(score)

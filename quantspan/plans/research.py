@@ -80,7 +80,7 @@ def scheduled(s, d):
 
 add("l1_schedule", f"WITH {q.BARS}, {FEEDS}, {FLIPS}, {SCHED} SELECT asset, time, kind, place FROM sc", lambda s, d: scheduled(s, d).select("asset", "time", "kind", "place"))
 add("l2_next_rebalance", f"WITH {q.BARS}, {FEEDS}, {FLIPS}, {SCHED} SELECT asset, min(time) AS time, arg_min(kind, (time, rank)) AS kind FROM sc WHERE time > 1704900000 GROUP BY 1",
-    lambda s, d: scheduled(s, d).where("time > 1704900000").groupBy("asset").agg(F.min("time").alias("time"), F.min_by("kind", F.struct("time", "rank")).alias("kind")))
+    lambda s, d: carry.next_rebalance(scheduled(s, d), 1704900000))
 
 # --- pairs ---------------------------------------------------------------------------------------
 LEGS = f"{q.BARS}, legs AS (SELECT *, ln(ca) AS la, ln(cb) AS lb, ln(ca) - ln(cb) AS sp, row_number() OVER (PARTITION BY a, b ORDER BY time) - 1 AS i FROM (SELECT x.time, x.asset AS a, y.asset AS b, x.close AS ca, y.close AS cb FROM bars x JOIN bars y ON x.time = y.time AND x.asset < y.asset))"
@@ -199,3 +199,11 @@ add("a10_sortino", f"WITH {RET} SELECT asset, round(CASE WHEN count(ret) >= 2 AN
     lambda s, d: panel(s, d).where("ret is not null").groupBy("asset").agg(rounded(F.when((F.count("ret") >= 2) & (F.count_if(F.col("ret") < 0) >= 2), F.try_divide(F.avg("ret"), F.nullif(F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0)))), F.lit(0.0))))).alias("sortino")))
 add("a12_objective", f"WITH {RET} SELECT r.asset, round(avg(r.ret) / nullif(sqrt(avg(power(least(r.ret, 0), 2))), 0) - 0.5 * abs(coalesce(corr(r.ret, m.ret), 0)), 6) AS objective FROM rets r JOIN (SELECT time, ret FROM rets WHERE asset = 'view') m ON r.time = m.time WHERE r.ret IS NOT NULL AND m.ret IS NOT NULL GROUP BY 1",
     lambda s, d: (lambda p: p.join(p.where("asset = 'view'").select("time", F.col("ret").alias("m")), "time").where("ret is not null and m is not null").groupBy("asset").agg(rounded(F.try_divide(F.avg("ret"), F.sqrt(F.avg(F.pow(F.least("ret", F.lit(0.0)), F.lit(2.0))))) - 0.5 * F.abs(F.coalesce(F.corr("ret", "m"), F.lit(0.0)))).alias("objective")))(panel(s, d)))
+PAIRED = f"WITH {RET}, j AS (SELECT r.asset, r.ret, m.ret AS m FROM rets r JOIN (SELECT time, ret FROM rets WHERE asset = 'view') m ON r.time = m.time WHERE r.ret IS NOT NULL AND m.ret IS NOT NULL)"
+add("a12_objective_terms", f"{PAIRED} SELECT asset, round(2 * sqrt(8760) * coalesce(CASE WHEN count(*) FILTER (ret < 0) >= 2 THEN avg(ret) / sqrt(avg(power(least(ret, 0), 2))) END, 0) - abs(coalesce(corr(ret, m), 0)) - 0.1 * avg(abs(ret)) + 3 * max(ret), 5) AS objective FROM j GROUP BY 1",
+    lambda s, d: (lambda p: p.join(p.where("asset = 'view'").select("time", F.col("ret").alias("m")), "time").where("ret is not null and m is not null").groupBy("asset").agg(rounded(portfolio.objective("ret", "m", F.avg(F.abs("ret")), (2.0, 1.0, 0.1), 8760.0, {"best": (3.0, F.max("ret"))}), 5).alias("objective")))(panel(s, d)))
+add("x1_json_values", "SELECT event_type AS asset, count(*)::BIGINT AS n, sum(json_extract_string(props, '$.k')::BIGINT)::BIGINT AS total FROM events GROUP BY 1",
+    lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy(F.col("event_type").alias("asset")).agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total")))
+DATES = "coalesce(try_strptime(x, '%Y-%m-%d %H:%M:%S'), try_strptime(x, '%d/%m/%Y %H:%M'), try_strptime(x, '%Y%m%d'))"
+add("x2_dates", f"WITH t AS (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d 00:00:00') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y 00:00') ELSE strftime(o_orderdate, '%Y%m%d') END AS x FROM orders) SELECT year({DATES})::INT AS y, count(*)::BIGINT AS n, count(*) FILTER ({DATES} IS NULL)::BIGINT AS bad FROM t GROUP BY 1",
+    lambda s, d: s.read.parquet(f"{d}/orders.parquet").select(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyy-MM-dd 00:00:00")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd/MM/yyyy 00:00")).otherwise(F.date_format("o_orderdate", "yyyyMMdd")).alias("x")).select(src.parsed_time("x").alias("t")).groupBy(F.year("t").alias("y")).agg(F.count("*").alias("n"), F.count_if(F.col("t").isNull()).alias("bad")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantspan.functions.windows import w
@@ -141,3 +141,12 @@ def complete_times(df: DataFrame, *columns: str) -> DataFrame:
         lacking = one if lacking is None else lacking | one
     times = df.groupBy("time").agg(F.max(lacking).alias("lacking")).where("not lacking").select("time")
     return df.join(times, "time", "left_semi")
+
+
+#: Formats that dates in files come in, in the order they are tried.
+TIME_FORMATS = ("yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyyMMdd")
+
+
+def parsed_time(column: str) -> Column:
+    """A time from text in any of :data:`TIME_FORMATS`; null if none fits."""
+    return F.coalesce(*(F.try_to_timestamp(F.col(column), F.lit(f)) for f in TIME_FORMATS))
