@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import columns_as
+from .shared import columns_as, released
 
 #: Rows are sent on when their texts and ids reach about this many bytes.
 BATCH_BYTES = 4 << 20
@@ -297,7 +297,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
         if first is not None:
             yield from _sent((row for part in ([first], source) for row in part), schema)
 
-    return own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
+    return own.mapInArrow(released(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary")
 
 
 def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
@@ -319,4 +319,4 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 
             yield from _sent(rows(), schema)
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, decoded binary")
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(released(run), f"doc_id {kind}, n_tokens long, ids binary, decoded binary")

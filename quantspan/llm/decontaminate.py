@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, columns_as
+from .shared import Workspace, columns_as, released
 from .tokens import Table, word
 
 #: Bytes of test items that are indexed and broadcast at a time.
@@ -221,7 +221,7 @@ def _own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def item_blocks(items: DataFrame, width: int, threshold: float) -> Iterator:
     """Broadcast indexes of the test items, each of at most about BLOCK_BYTES of text."""
     spark, work = items.sparkSession, Workspace(items.sparkSession, "benchmark")
-    items = work.table(items.mapInArrow(_own_words, f"item_id {items.schema['item_id'].dataType.simpleString()}, text string, n_words long, words array<string>"), "items")
+    items = work.table(items.mapInArrow(released(_own_words), f"item_id {items.schema['item_id'].dataType.simpleString()}, text string, n_words long, words array<string>"), "items")
     every = items.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count("*").alias("n"), F.avg(F.when(F.col("n_words") > 0, F.col("n_words"))).alias("mean")).first()
     blocks = -(-(every["bytes"] or 0) // BLOCK_BYTES)
     seen = work.table(items.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("seen")), "seen") if blocks else None
@@ -264,7 +264,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
                     names = [x.split()[0] for x in FOUND.split(", ")]
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *map(pa.array, columns)], names=["doc_id", *names])
 
-        found = own.mapInArrow(run, f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {FOUND}")
+        found = own.mapInArrow(released(run), f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {FOUND}")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], f"doc_id {own.schema['doc_id'].dataType.simpleString()}, {FOUND}")
 
@@ -280,5 +280,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
             for batch in batches:
                 yield batch.filter(pa.array([not find(row[text_col].as_py() or "") for row in batch.column(0)], pa.bool_()))
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(released(run), schema)
     return out.select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace
+from .shared import Workspace, released
 
 WINDOW = 3
 BYTES_A_WORD = 8
@@ -122,7 +122,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work = Workspace(docs.sparkSession, "linededup")
     docs = docs.drop(*({"kept_text", "n_lines", "n_removed", "n_runs"} - {id_col, text_col})).withColumn(text_col, F.col(text_col).cast("string"))
     keyed = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(F.col(text_col), F.lit(1)).alias("text_hash"), F.struct("*").alias("row"))
-    found = keyed.select("doc", "text_hash", F.col("row")[text_col].alias("text")).mapInArrow(_positions(window, least_words), "doc long, text_hash long, start int, lines int, fingerprint long, again boolean, wholes array<binary>, seen array<boolean>")
+    found = keyed.select("doc", "text_hash", F.col("row")[text_col].alias("text")).mapInArrow(released(_positions(window, least_words)), "doc long, text_hash long, start int, lines int, fingerprint long, again boolean, wholes array<binary>, seen array<boolean>")
     found = work.table(found, "positions")
     met = found.groupBy("fingerprint").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.max("again").alias("again")).where("first < last or again")
     matched = found.join(met.select("fingerprint"), "fingerprint", "left_semi")
@@ -135,7 +135,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     work.drop("positions")
     both = keyed.join(repeats.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", "spans")
     schema = T.StructType([T.StructField("row", docs.schema), T.StructField("kept", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("n_lines", "n_removed", "n_runs"))])
-    changed = both.where("spans is not null").mapInArrow(_without(window, text_col), schema)
+    changed = both.where("spans is not null").mapInArrow(released(_without(window, text_col)), schema)
     text = F.coalesce(F.col("row")[text_col], F.lit(""))
     lines = (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("long")
     same = both.where("spans is null").select("row", F.col("row")[text_col].alias("kept"), lines.alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))

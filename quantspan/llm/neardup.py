@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Workspace, columns_as
+from .shared import Workspace, columns_as, released
 
 #: Values of a signature, values of a chunk and errors allowed in it. A pair of Jaccard similarity 0.8 that
 #: shares no key is as rare as (1 - .8^5 - 5 * .2 * .8^4)^10, about 2 in a million.
@@ -92,7 +92,7 @@ def marks(docs: DataFrame, width: int) -> DataFrame:
         for ids, sets in _texts(batches, width):
             yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_shingles": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([digest_of(s) for s in sets], pa.binary()), "sig": pa.array([minhash(s, times, masks).tobytes() for s in sets], pa.binary())})
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.mapInArrow(released(run), "doc_id long, n_shingles long, digest binary, sig binary")
 
 
 def sets_of(docs: DataFrame, width: int) -> DataFrame:
@@ -100,7 +100,7 @@ def sets_of(docs: DataFrame, width: int) -> DataFrame:
         for _, sets in _texts(batches, width):
             yield pa.RecordBatch.from_pydict({"digest": pa.array([digest_of(s) for s in sets], pa.binary()), "items": pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "digest binary, items array<long>")
+    return docs.mapInArrow(released(run), "digest binary, items array<long>")
 
 
 def signatures(column: pa.Array, values: int = VALUES) -> np.ndarray:
@@ -123,7 +123,7 @@ def signature_keys(nodes: DataFrame) -> DataFrame:
                 h ^= h >> np.uint64(31)
                 yield pa.RecordBatch.from_pydict({"key": ((h >> np.uint64(6) << np.uint64(6)) | np.uint64(slot)).view(np.int64), "node": node})
 
-    return nodes.select("node", "sig").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "sig").mapInArrow(released(run), "key long, node long")
 
 
 def first_slots(one: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -263,7 +263,7 @@ class Join:
         pairs = bucketed.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
         one = lambda x: self.nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
         near = pairs.join(one("a"), "a").join(one("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * self.percent)
-        near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_signature_filter, "a long, b long, n_a long, n_b long")
+        near = near.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(released(_signature_filter), "a long, b long, n_a long, n_b long")
         near = self.work.table(near, "near")
         sets = self.sets(near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct(), "star-sets")
         both = near.join(sets.select(F.col("node").alias("a"), F.col("items").alias("items_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("items_b")), "b")
@@ -293,11 +293,11 @@ class Join:
         """Links between components within open buckets."""
         tasks = ["key", "one", "other"]
         held = rows.join(self.nodes.select("node", "sig"), "node").select(*(c.split()[0] for c in GROUPED.split(", ")))
-        held = held.repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(_screen(self.percent), GROUPED)
+        held = held.repartition(*tasks).sortWithinPartitions(*tasks).mapInArrow(released(_screen(self.percent)), GROUPED)
         held = self.work.table(held, "screened")
         sets = self.sets(held.select("node").distinct(), "block-sets")
         full = held.join(sets, "node").select(*held.columns, "items").repartition(*tasks).sortWithinPartitions(*tasks)
-        return self.work.table(full.mapInArrow(_links(self.percent), "a long, b long"), "block-links")
+        return self.work.table(full.mapInArrow(released(_links(self.percent)), "a long, b long"), "block-links")
 
     def run(self) -> DataFrame:
         work = self.work

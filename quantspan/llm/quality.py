@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import Workspace, columns_as
+from .shared import Workspace, columns_as, released
 from .tokens import FEATURES, Table, ngram_features, scored, token_code, training_rows
 
 #: Labelled rows that the model is fitted on, at most; scoring covers every row.
@@ -123,8 +123,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
         held = [model.weight.astype("<f4").tobytes(), model.square.astype("<f4").tobytes(), np.array([model.bias, model.slope, model.level]).tobytes()]
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(3), pa.int32()), "held": pa.array(held, pa.binary())})
 
-    featured = training_rows(docs, labels, label, train_rows, work).mapInArrow(sets, "label int, features binary")
-    parts = {r["part"]: r["held"] for r in featured.repartition(1).mapInArrow(whole, "part int, held binary").collect()}
+    featured = training_rows(docs, labels, label, train_rows, work).mapInArrow(released(sets), "label int, features binary")
+    parts = {r["part"]: r["held"] for r in featured.repartition(1).mapInArrow(released(whole), "part int, held binary").collect()}
     work.close()
     if not parts:
         return fit_rows([], np.zeros(0, np.int64))
@@ -164,4 +164,4 @@ def keep_quality(docs: DataFrame, train_docs: DataFrame, labels: DataFrame, text
         for batch in batches:
             yield batch.filter(pa.array([model.value.score(ngram_features(row[text_col].as_py() or "", table)) >= threshold for row in batch.column(0)], pa.bool_()))
 
-    return docs.select(F.struct("*").alias("row")).mapInArrow(run, T.StructType([T.StructField("row", docs.schema)])).select("row.*")
+    return docs.select(F.struct("*").alias("row")).mapInArrow(released(run), T.StructType([T.StructField("row", docs.schema)])).select("row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Workspace
+from .shared import Workspace, released
 
 REMEMBERED = 300_000
 #: Hashed words, hashed word pairs, and hashed n-grams of token shapes.
@@ -108,4 +108,4 @@ def scored(docs: DataFrame, score: Callable[[], Callable[[str], tuple]], fields:
                 columns = [pa.array(c, kind) for c, (_, kind) in zip(zip(*rows, strict=True), fields, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], schema=pa.schema([part.schema.field(0), *fields]))
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {ddl}")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {ddl}")

@@ -10,9 +10,10 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from quantspan.llm import bpe, components, decontaminate, hnsw, linededup, neardup, quality, sharding, substrings, toxicity, warc
+from quantspan.llm import bpe, components, decontaminate, hnsw, linededup, neardup, quality, sharding, shared, substrings, toxicity, warc
 from quantspan.llm.shared import Workspace
 
 CLASH = "doc_id long, text string, part int, node long, u long, row string, kept string"
@@ -436,3 +437,33 @@ def test_graph_recall():
     assert true >= hnsw.LINKS and found >= hnsw.RECALL * true
     lonely = np.eye(24)
     assert hnsw.audited_links(hnsw.Graph(lonely), lonely, lonely, 0.93, np.arange(24))[2:] == (0, 0)
+
+
+def test_workers_are_sent_few_rows_and_give_memory_back(spark, monkeypatch):
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        spark.conf.set(setting, 10_000)
+        rows = [(k, f"line {k % 7}\n" * 4) for k in range(3 * shared.ROWS_AT_ONCE)]
+        out = linededup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+        assert out.count() == len(rows) and int(spark.conf.get(setting)) == shared.ROWS_AT_ONCE
+        sizes = spark.range(0, len(rows), 1, 1).mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").toPandas().n
+        assert sizes.sum() == len(rows) and sizes.max() <= shared.ROWS_AT_ONCE
+        spark.conf.set(setting, 50)
+        Workspace(spark, "batches")
+        assert int(spark.conf.get(setting)) == 50
+    finally:
+        spark.conf.set(setting, before)
+
+    calls = []
+    monkeypatch.setattr(shared, "give_back", lambda: calls.append(1))
+    assert list(shared.released(lambda batches: (x + 1 for x in batches))(iter([1, 2]))) == [2, 3] and calls == [1]
+    with pytest.raises(ZeroDivisionError):
+        list(shared.released(lambda batches: (1 // x for x in batches))(iter([1, 0])))
+    assert calls == [1, 1]
+    kind, wrapped = type(spark.range(0)), []
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, way=kind.mapInArrow: wrapped.append(hasattr(f, "__wrapped__")) or way(self, f, *a))
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    nodes = neardup.marks(docs, 2).selectExpr("doc_id as node", "sig")
+    neardup.sets_of(docs, 2), neardup.signature_keys(nodes), linededup.line_dedup(docs)
+    assert len(wrapped) == 5 and all(wrapped)
